@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchspark.checks.oracle_views import ORACLE_VIEWS
 from matchspark.fixtures import Tables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ def check(name: str, covers: str, oracle: str | None = None):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         COVERS[name] = covers.split()
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name] = with_views(oracle, more_views=ORACLE_VIEWS)
         return fn
 
     return register

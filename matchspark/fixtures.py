@@ -7,6 +7,7 @@ part = program, orders with lineitem = applications, events = engagement, nation
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -184,24 +185,25 @@ SELECT o_custkey AS mentee_id, l_partkey AS post_id, MIN(l_suppkey) AS mentor_id
        MAX(CASE WHEN l_returnflag = 'R' AND l_linenumber <= 2 THEN 1 ELSE 0 END) AS label
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, l_partkey"""
 
-_NAME = re.compile(r"\bf_[a-z_]+\b")
+_NAME = re.compile(r"\b[fx]_[a-z_]+\b")
 
 
-def _needed(sql: str) -> list[str]:
+def _needed(sql: str, views: dict[str, str]) -> list[str]:
     """Views used by ``sql``, directly or through other views, in definition order."""
     found: set[str] = set()
     queue = [sql]
     while queue:
         for name in _NAME.findall(queue.pop()):
-            if name in VIEWS and name not in found:
+            if name in views and name not in found:
                 found.add(name)
-                queue.append(VIEWS[name])
-    return [name for name in VIEWS if name in found]
+                queue.append(views[name])
+    return [name for name in views if name in found]
 
 
-def with_views(sql: str, extra: list[str] | None = None) -> str:
-    """Prefix ``sql`` with the fixture views it uses (and ``extra`` definitions, verbatim)."""
-    parts = [*(extra or []), *(f"{name} AS ({VIEWS[name].strip()})" for name in _needed(sql))]
+def with_views(sql: str, extra: list[str] | None = None, more_views: dict[str, str] | None = None) -> str:
+    """Prefix ``sql`` with the views it uses (and ``extra`` definitions, verbatim)."""
+    views = VIEWS | (more_views or {})
+    parts = [*(extra or []), *(f"{name} AS ({views[name].strip()})" for name in _needed(sql, views))]
     if not parts:
         return sql
     body = sql.strip()
@@ -210,6 +212,9 @@ def with_views(sql: str, extra: list[str] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+_REGISTERED: set[tuple[int, str]] = set()
+
+
 class Tables:
     """The base tables and fixture views of one data folder as DataFrames (``t.f_programs``)."""
 
@@ -220,15 +225,24 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
+    def base_view(self, name: str) -> str:
+        """A temporary view over one base table; the schema is read from the file once per session."""
+        view = f"base_{zlib.crc32(self.path(name).encode()):08x}_{name}"
+        key = (id(self.spark._jsparkSession), view)
+        if key not in _REGISTERED:
+            self.spark.read.parquet(self.path(name)).createOrReplaceTempView(view)
+            _REGISTERED.add(key)
+        return view
+
     def sql(self, sql: str) -> DataFrame:
         text = with_views(sql)
         used = [b for b in BASE if re.search(rf"\b{b}\b", text)]
-        base = [f"{b} AS (SELECT * FROM parquet.`{self.path(b)}`)" for b in used]
+        base = [f"{b} AS (SELECT * FROM {self.base_view(b)})" for b in used]
         return self.spark.sql(with_views(sql, base))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(self.path(name))
+            return self.spark.table(self.base_view(name))
         if name in VIEWS:
             return self.sql(f"SELECT * FROM {name}")
         raise AttributeError(name)

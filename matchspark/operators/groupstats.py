@@ -17,8 +17,8 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> Dat
     return df.join(totals, list(keys), "left")
 
 
-def scalar_stats(df: DataFrame, **stats: Column) -> dict[str, Column]:
-    """Whole-table aggregates as scalar subqueries: each can be used like a literal."""
-    row = df.agg(F.struct(*[expr.alias(name) for name, expr in stats.items()]).alias("s"))
-    scalar = row.scalar()
-    return {name: scalar[name] for name in stats}
+def with_scalars(df: DataFrame, source: DataFrame, **stats: Column) -> DataFrame:
+    """Add whole-table aggregates of ``source`` to every row of ``df`` (one scalar subquery)."""
+    row = source.agg(F.struct(*[expr.alias(name) for name, expr in stats.items()])).scalar()
+    held = df.select("*", row.alias("_scalars"))
+    return held.select(*df.columns, *[F.col(f"_scalars.{name}").alias(name) for name in stats])

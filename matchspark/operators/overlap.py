@@ -38,7 +38,7 @@ def posting_candidates(left_tokens: DataFrame, right_tokens: DataFrame, *, left_
                        token: Sequence[str], left_key: Sequence[str], list_key: Sequence[str],
                        list_order: Sequence[Column], rank: Callable[[DataFrame], Sequence[Column]],
                        k: int) -> DataFrame:
-    """Pairs sharing one token, at most ``k`` per (token, left key).
+    """Pairs sharing one token with what they share, at most ``k`` per (token, left key).
 
     Posting lists keep ``k`` rows per (token, ``list_key``). They are ranked once per distinct
     (token, ``left_key``) and only then handed to the left rows, so the work per list does not grow
@@ -50,7 +50,7 @@ def posting_candidates(left_tokens: DataFrame, right_tokens: DataFrame, *, left_
     offered = kinds.join(lists, token)
     best = grouped_topk(offered, [*token, *left_key], rank(offered), k)
     return left_tokens.select(left_id, *token, *left_key).join(
-        best.select(*token, *left_key, right_id), [*token, *left_key]).select(left_id, right_id)
+        best.select(*token, *left_key, right_id, *list_key), [*token, *left_key])
 
 
 def rare_first(tokens: DataFrame, frequency: DataFrame, key: str) -> DataFrame:

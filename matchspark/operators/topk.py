@@ -41,20 +41,23 @@ def attach_list(df: DataFrame, values: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(values))
 
 
-def dense_index(df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "idx") -> DataFrame:
-    """Consecutive numbers 1..n in a total order, without sorting the table in one task.
+def dense_index(df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "idx",
+                groups: Sequence[str] = ()) -> DataFrame:
+    """Consecutive numbers 1..n in a total order (per group), without sorting everything in one task.
 
     ``bucket`` must rise with the order and take a bounded number of values. Rows are numbered inside
     their bucket, then shifted by the size of the buckets before it.
     """
+    groups = list(groups)
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
+    sizes = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_size"))
+    whole = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*groups, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_pos", F.row_number().over(inside))
-        .join(shifts, "_bucket")
+        .join(shifts, [*groups, "_bucket"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_bucket", "_pos", "_shift")
     )

@@ -93,10 +93,11 @@ def main(argv: list[str]) -> int:
             failed.append(name)
             print(f"FAIL  {name}: oracle: {str(exc)[:1500]}")
             continue
+        took_duck = time.time() - start - took
         problem = difference(got, expected)
         if problem:
             failed.append(name)
-        print(f"{'FAIL' if problem else 'ok  '}  {name}: {len(got)} rows, {took:.1f}s {problem or ''}"[:1500])
+        print(f"{'FAIL' if problem else 'ok  '}  {name}: {len(got)} rows, {took:.1f}s ({took_duck:.1f}s) {problem or ''}"[:1500])
     print(f"{len(failed)} failed: {failed}")
     return 1 if failed else 0
 
