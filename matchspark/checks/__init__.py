@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "people"]
+AREAS = ["matching", "people", "cleaning"]
 
 
 def load() -> None:

@@ -20,7 +20,11 @@ def check(name: str, covers: str, oracle: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(Tables(spark, sf_dir))
+
+        run.area = fn.__module__.rsplit(".", 1)[-1]
+        QUERIES[name] = run
         COVERS[name] = covers.split()
         if oracle is not None:
             ORACLES[name] = with_views(oracle, more_views=ORACLE_VIEWS)

@@ -28,7 +28,7 @@ def canon(df: pd.DataFrame) -> list[tuple]:
     """Rows with columns by name and values as text, sorted."""
 
     def show(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "∅"
         if isinstance(v, float):
             return repr(v + 0.0)
@@ -69,12 +69,17 @@ def main(argv: list[str]) -> int:
     wanted = argv[1:]
     import __spark_entry__ as entry
     from matchspark.session import local_session
-    spark = local_session(cores="8")
+    quick = {} if os.environ.get("FULL_PLANS") else {
+        "spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    spark = local_session(cores="8", shuffle_partitions=2 if quick else 8, **quick)
     con = connect(sf_dir)
     oracles = entry.oracle_sql()
     failed = []
+    from matchspark.checks.registry import QUERIES
+    areas = {n: getattr(f, "area", "") for n, f in QUERIES.items()}
     for name, fn in entry.queries().items():
-        if wanted and not any(w in name for w in wanted):
+        if wanted and not any(w in name or w == areas[name] for w in wanted):
             continue
         start = time.time()
         try:
