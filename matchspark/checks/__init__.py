@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "people", "cleaning"]
+AREAS = ["matching", "people", "cleaning", "ranking", "serving"]
 
 
 def load() -> None:

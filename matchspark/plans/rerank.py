@@ -347,7 +347,7 @@ def prefilter_score(df: DataFrame) -> Column:
 def prefilter_lists(df: DataFrame, max_size: int = 250, target: int = 150) -> DataFrame:
     """Lists of more than ``max_size`` keep the ``target`` best by the rough score."""
     sized = with_group_stats(df, ["mentee_id"], _n=F.count("*"), _max_spots=F.max(optional(df, "spots_left", 1.0)))
-    ranked = grouped_topk(sized.withColumn("_rough", prefilter_score(df)), ["mentee_id"],
+    ranked = grouped_topk(sized.withColumn("_rough", F.round(prefilter_score(df), 9)), ["mentee_id"],
                           [F.col("_rough").desc(), F.col("post_id")], max_size, rank="_place")
     kept = ranked.where((F.col("_n") <= max_size) | (F.col("_place") <= target))
     return kept.drop("_n", "_max_spots", "_rough", "_place")
