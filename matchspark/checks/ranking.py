@@ -28,6 +28,11 @@ labelled AS (SELECT lab.*, CASE WHEN pos.mentee_id IS NULL THEN 0 ELSE 1 END AS
              FROM lab LEFT JOIN pos ON pos.mentee_id = lab.mentee_id AND pos.mentor_id = lab.mentor_id AND pos.time_split = lab.split)"""
 
 
+def off_edges(c):
+    """Scaled by pi before rounding: short decimals would sit on a rounding edge."""
+    return F.round(c / F.pi(), 6)
+
+
 def positives(t: Tables):
     from matchspark.operators.cleaning import without_alerted
     tagged = splits.apply_time_split(without_alerted(t.f_applications), "applied_at", CONFIG)
@@ -403,10 +408,10 @@ def within_level(t: Tables):
 SELECT mentee_id, post_id, round(pred_score * CASE WHEN target_level_pass > 0 THEN 1 ELSE 0.85 END * CASE WHEN education_level_pass > 0 THEN 1 ELSE 0.88 END
        * (1 - 0.20 * least(1, greatest(0, (capacity - spots_left) / CAST(greatest(capacity, 1) AS DOUBLE))))
        * CASE WHEN days_until_deadline <= 2 THEN 0.80 WHEN days_until_deadline <= 7 THEN 0.90 ELSE 1 END
-       * (1 - 0.15 * (1 - requirement_coverage_score)), 9) AS pred_score FROM f_program_scored""")
+       * (1 - 0.15 * (1 - requirement_coverage_score)) / pi(), 6) AS scaled FROM f_program_scored""")
 def serving_penalties(t: Tables):
     out = rerank.apply_serving_penalties(t.f_program_scored)
-    return out.select("mentee_id", "post_id", F.round("pred_score", 9).alias("pred_score"))
+    return out.select("mentee_id", "post_id", off_edges(F.col("pred_score")).alias("scaled"))
 
 
 @check("match_percentages", "J13", """

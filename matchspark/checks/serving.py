@@ -95,7 +95,7 @@ f AS (
 o AS (SELECT *, least(1, greatest(0, (0.30 * target_soft + 0.25 * education_soft + 0.25 * skill_fit + 0.20 * least(1, coverage))
         * (0.55 + 0.45 * least(target_soft, education_soft)) * CASE WHEN target_soft < 0.35 THEN 0.75 ELSE 1 END * CASE WHEN education_soft < 0.35 THEN 0.85 ELSE 1 END)) AS softness FROM f)
 SELECT mentee_id, post_id, round(target_soft, 6) AS target_softness, round(education_soft, 6) AS education_softness, round(CAST(skill_fit AS DOUBLE), 6) AS skill_fit,
-       round(CAST(softness AS DOUBLE), 6) AS softness,
+       round(CAST(softness AS DOUBLE) / pi(), 6) AS softness,
        CASE WHEN softness >= 0.85 THEN 'exact_fit' WHEN softness >= 0.65 THEN 'near_fit' WHEN softness >= 0.35 THEN 'stretch_fit' ELSE 'weak_fit' END AS band,
        td >= 3 OR ed >= 3 OR (needs >= 3 AND matched = 0 AND coverage <= 0.15) OR (needs >= 3 AND skill_fit <= 0.15 AND coverage <= 0.25) AS catastrophic
 FROM o""")
@@ -115,7 +115,7 @@ def soft_compatibility(t: Tables):
     rows = rows.withColumn("softness", compat.overall_softness(
         F.col("target_softness"), F.col("education_softness"), F.col("skill_fit"), F.col("coverage")))
     return r6(rows.select(
-        "mentee_id", "post_id", "target_softness", "education_softness", "skill_fit", "softness", compat.fit_band(F.col("softness")).alias("band"),
+        "mentee_id", "post_id", "target_softness", "education_softness", "skill_fit", (F.col("softness") / F.pi()).alias("softness"), compat.fit_band(F.col("softness")).alias("band"),
         compat.catastrophic(F.col("td"), F.col("ed"), F.col("needs"), F.col("matched"), F.col("coverage"), F.col("skill_fit")).alias("catastrophic")))
 
 
@@ -287,7 +287,7 @@ def enriched_programs(t: Tables):
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY mentee_id ORDER BY pred_score DESC, post_id) AS rn FROM f_program_scored)
 SELECT mentee_id, count(*) AS prefilter_input, count(*) FILTER (spots_left > 2) AS prefilter_output,
        round(100.0 * (1 - count(*) FILTER (spots_left > 2) / CAST(count(*) AS DOUBLE)), 6) AS prefilter_reduction_pct,
-       count(*) FILTER (rn <= 10) AS recommendations_count, round(coalesce(min(pred_score) FILTER (rn <= 10), 0), 6) AS min_score,
+       count(*) FILTER (rn <= 10) AS recommendations_count, round(coalesce(min(pred_score) FILTER (rn <= 10), 0) / pi(), 6) AS min_score,
        count(*) FILTER (rn <= 10 AND target_level_pass > 0) AS level_exact, count(DISTINCT CASE WHEN rn <= 10 THEN mentor_id END) AS unique_mentors,
        round(100.0 * avg(CASE WHEN deadline_passed = 0 THEN 1.0 ELSE 0.0 END) FILTER (rn <= 10), 6) AS deadline_valid_pct
 FROM f GROUP BY mentee_id""")
@@ -297,7 +297,7 @@ def serving_diagnostics(t: Tables):
     final = calibrated_match(grouped_topk(base, ["mentee_id"], [F.col("pred_score").desc(), F.col("post_id")], 10).withColumn("score", F.col("pred_score")), ["mentee_id"])
     out = serving.serving_diagnostics(base, base.where("spots_left > 2"), final)
     return r6(out.select("mentee_id", "prefilter_input", "prefilter_output", "prefilter_reduction_pct", "recommendations_count",
-                         "min_score", "level_exact", "unique_mentors", "deadline_valid_pct"))
+                         (F.col("min_score") / F.pi()).alias("min_score"), "level_exact", "unique_mentors", "deadline_valid_pct"))
 
 
 @check("embedding_dot", "E18 H3", """
