@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "people", "cleaning", "ranking", "serving", "texts"]
+AREAS = ["matching", "people", "cleaning", "ranking", "serving", "texts", "models"]
 
 
 def load() -> None:

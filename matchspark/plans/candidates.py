@@ -75,20 +75,25 @@ def popular_matches(mentees: DataFrame, mentors: DataFrame, k: int) -> DataFrame
                        (F.lit(TIERS["global"]) + F.when(fits, LEVEL_BONUS).otherwise(0)).alias("priority"))
 
 
+def ranked_candidates(mentees: DataFrame, mentors: DataFrame, subdomain_domains: DataFrame | None, top_k: int,
+                      limit: int) -> DataFrame:
+    """The ``limit`` best candidates of every mentee with priority and rank."""
+    matched = tiered_matches(mentees, mentors, subdomain_domains, limit)
+    everything = matched.unionByName(popular_matches(mentees, mentors, top_k))
+    best = everything.groupBy(*PAIR).agg(F.max("priority").alias("priority"))
+    return grouped_topk(best, ["mentee_id"], [F.col("priority").desc(), F.col("mentor_id")], limit, rank="rank")
+
+
 def candidate_pool(mentees: DataFrame, mentors: DataFrame, subdomain_domains: DataFrame | None = None,
                    top_k: int = 30, high_cap: int = 30, low_cap: int = 10, exploration_pct: float = 0.05,
                    explore: bool = True, seed: int = 42) -> DataFrame:
     """(mentee_id, mentor_id): the best tiers up to both caps, then exploration."""
     limit = high_cap + low_cap
-    matched = tiered_matches(mentees, mentors, subdomain_domains, limit)
-    everything = matched.unionByName(popular_matches(mentees, mentors, top_k))
-    best = everything.groupBy(*PAIR).agg(F.max("priority").alias("priority"))
-    pool = grouped_topk(best, ["mentee_id"], [F.col("priority").desc(), F.col("mentor_id")], limit).select(*PAIR)
+    pool = ranked_candidates(mentees, mentors, subdomain_domains, top_k, limit).select(*PAIR)
     if not explore:
         return pool
     n = max(2, round(high_cap * exploration_pct))
-    extra = exploration(mentees, mentors, pool, subdomain_domains, n, limit, seed)
-    return pool.union(extra).distinct()
+    return pool.union(exploration(mentees, mentors, pool, subdomain_domains, n, limit, seed)).distinct()
 
 
 def _ring(rows: DataFrame, groups: list[str], seed: int) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ def match_faq(messages: DataFrame, faq: DataFrame, text: str = "text", inline_li
 
     ``faq`` has one row per (entry_id, keyword). Keywords under four letters are ignored, a sum under
     four is no match, and the lower entry id wins ties. A short keyword list is tested inside each
-    row; a longer one is joined on the substrings of each message.
+    row; a longer one is joined on the word starts found in each message.
     """
     keywords = faq.select("entry_id", F.lower("keyword").alias("keyword")).where(
         F.length("keyword") >= MIN_KEYWORD).withColumn("size", F.length("keyword"))
@@ -42,14 +42,16 @@ def _scores_inline(messages: DataFrame, keywords: DataFrame, text: str) -> DataF
 
 
 def _scores_by_substring(messages: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    sizes = keywords.agg(F.collect_set("size")).scalar()
-    rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"), F.explode(sizes).alias("size"))
-    pieces = (
-        rows.where(F.length("_t") >= F.col("size"))
-        .select("message_id", "_t", "size", F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("size") + 1)).alias("at"))
-        .select("message_id", F.substr("_t", F.col("at"), F.col("size")).alias("keyword")).distinct()
+    """Messages and keywords meet on the first letters of the keyword, then the whole keyword is tested."""
+    rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"))
+    places = F.sequence(F.lit(1), F.length("_t") - MIN_KEYWORD + 1)
+    starts = (
+        rows.where(F.length("_t") >= MIN_KEYWORD).select("message_id", F.explode(F.array_distinct(F.transform(
+            places, lambda i: F.substr("_t", i, F.lit(MIN_KEYWORD))))).alias("_start"))
     )
-    return pieces.join(keywords, "keyword").groupBy("message_id", "entry_id").agg(F.sum("size").alias("score"))
+    named = keywords.withColumn("_start", F.substring("keyword", 1, MIN_KEYWORD))
+    met = starts.join(named, "_start").join(rows, "message_id").where(F.contains("_t", "keyword"))
+    return met.groupBy("message_id", "entry_id").agg(F.sum("size").alias("score"))
 
 
 def mentioned_mentor(messages: DataFrame, recommendations: DataFrame, text: str = "text") -> DataFrame:
