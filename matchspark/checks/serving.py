@@ -216,7 +216,7 @@ def heuristic_scores(t: Tables):
 def heuristic(t: Tables):
     people = t.f_mentee_profile.select(F.col("user_id").alias("mentee_id"), "domain_id")
     return serving.score_all_users(people, materialize(base_table(t), "mentor-base"), t.f_mentee_interests, t.f_mentee_subdomains,
-                                   t.f_mentor_expertise, t.f_mentor_subdomains, t.f_follows, k=25)
+                                   t.f_mentor_expertise, t.f_mentor_subdomains, t.f_technology, t.f_follows, k=25)
 
 
 @check("heuristic_recommendations", "J14 G10 J13 N20")
@@ -246,7 +246,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY mentee_id ORDER BY round(CAST(sc
 def cold_start_content(t: Tables):
     mentee_table, mentor_table = stored_people(t)
     out = serving.content_recommendations(mentee_table, mentor_table, t.f_mentee_interests, t.f_mentee_subdomains,
-                                          t.f_mentor_expertise, t.f_mentor_subdomains, 10)
+                                          t.f_mentor_expertise, t.f_mentor_subdomains, t.f_technology, 10)
     return r6(out.select("mentee_id", "mentor_id", "rank", "pred_score", "skill_overlap_score", "subdomain_similarity"))
 
 
@@ -263,7 +263,8 @@ def recommendations_for_all(t: Tables):
     both = stored_people(t)
     model = rerank.top_recommendations(t.f_scored.where("mentee_id % 3 = 0"), 10)
     users = t.orders.select(F.col("o_custkey").alias("mentee_id")).union(t.events.select(F.col("user_id") + 1000000)).distinct()
-    return serving.recommend_all(users, model, *both, t.f_mentee_interests, t.f_mentee_subdomains, t.f_mentor_expertise, t.f_mentor_subdomains)
+    return serving.recommend_all(users, model, *both, t.f_mentee_interests, t.f_mentee_subdomains, t.f_mentor_expertise,
+                                 t.f_mentor_subdomains, t.f_technology)
 
 
 @check("exclude_applied", "C19 C4", """

@@ -8,8 +8,9 @@ row in three ways, and each way needs a bounded number of candidates:
 * it shares exactly one token: right rows with that token that look alike to the score form one
   posting list; its first k members are enough, because every member ahead of the pair scores at
   least as much (extra shared tokens only help);
-* it shares two or more: both sides can drop their most frequent token and still meet on another
-  one, so the join uses the rarer tokens only and the hottest token is never a join key.
+* it shares two or more: both sides meet on couples of tokens, so a popular token alone is never a
+  join key. Couples where one token implies the other (a skill and its own field) are no keys
+  either; the posting list of the implying token covers them.
 
 Right rows that are alike in every respect (copies) are cut to k per kind before the last join.
 """
@@ -53,31 +54,21 @@ def posting_candidates(left_tokens: DataFrame, right_tokens: DataFrame, *, left_
         best.select(*token, *left_key, right_id, *list_key), [*token, *left_key])
 
 
-def rare_first(tokens: DataFrame, frequency: DataFrame, key: str) -> DataFrame:
-    """One array of tokens per key, rarest first (ties by token)."""
-    ranked = tokens.join(frequency, "token").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("_sorted"))
-    return ranked.select(key, F.transform("_sorted", lambda s: s["token"]).alias("tokens"))
+def token_couples(tokens: DataFrame, key: str, implied: DataFrame | None = None) -> DataFrame:
+    """(key, a, b) for every two tokens a < b of a key, without the couples listed in ``implied``."""
+    sets = tokens.select(key, "token").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias("_all"))
+    couples = F.flatten(F.transform("_all", lambda x: F.transform(
+        F.filter("_all", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    out = sets.where(F.size("_all") > 1).select(key, F.inline(couples))
+    return out if implied is None else out.join(implied, ["a", "b"], "left_anti").select(key, "a", "b")
 
 
-def multi_overlap_pairs(left_tokens: DataFrame, right_tokens: DataFrame, *, left_id: str,
-                        right_id: str) -> DataFrame:
-    """Pairs sharing at least two tokens (a superset of them: the caller verifies by scoring).
-
-    Both sides order tokens from rare to frequent and leave out the last one.
-    """
-    frequency = (
-        left_tokens.select("token").unionByName(right_tokens.select("token"))
-        .groupBy("token").agg(F.count("*").alias("freq"))
-    )
-
-    def prefix(tokens: DataFrame, key: str) -> DataFrame:
-        arranged = rare_first(tokens.select(key, "token"), frequency, key)
-        return arranged.where(F.size("tokens") > 1).select(
-            key, F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("token"))
-
+def multi_overlap_pairs(left_tokens: DataFrame, right_tokens: DataFrame, *, left_id: str, right_id: str,
+                        implied: DataFrame | None = None) -> DataFrame:
+    """Pairs sharing a couple of tokens (other than an ``implied`` one). ``implied`` is a taxonomy: small."""
     return (
-        prefix(left_tokens, left_id).join(prefix(right_tokens, right_id), "token")
+        token_couples(left_tokens, left_id, implied)
+        .join(token_couples(right_tokens, right_id, implied), ["a", "b"])
         .select(left_id, right_id).distinct()
     )
 
