@@ -66,7 +66,7 @@ def mentor_reasons(df: DataFrame) -> Column:
     texts = F.transform(best, lambda s: s["text"])
     about_skills = F.filter(texts, lambda t: F.lower(t).rlike("skill|requirement|specialization"))
     first = F.try_element_at(about_skills, F.lit(1))
-    others = F.filter(texts, lambda t: ~F.array_contains(F.slice(about_skills, 2, 3), t))
+    others = F.filter(texts, lambda t: ~F.array_contains(about_skills, t))
     merged = F.when(F.size(about_skills) >= 2, F.concat(F.array(first), others)).otherwise(texts)
     return F.when(F.size(texts) == 0, F.lit("good overall profile fit")).otherwise(F.array_join(merged, "; "))
 
