@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["matching", "people", "cleaning", "ranking", "serving", "texts", "models"]
+AREAS = ["matching", "people", "cleaning", "ranking", "serving", "texts", "models", "streams"]
 
 
 def load() -> None:
