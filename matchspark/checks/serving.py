@@ -261,7 +261,8 @@ def popular_fallback(t: Tables):
 @check("recommendations_for_all", "J16 E16 J15")
 def recommendations_for_all(t: Tables):
     both = stored_people(t)
-    model = rerank.top_recommendations(t.f_scored.where("mentee_id % 3 = 0"), 10)
+    known = t.f_mentorships.select("mentee_id").distinct()
+    model = rerank.top_recommendations(t.f_scored.join(known, "mentee_id", "left_semi"), 10)
     users = t.orders.select(F.col("o_custkey").alias("mentee_id")).union(t.events.select(F.col("user_id") + 1000000)).distinct()
     return serving.recommend_all(users, model, *both, t.f_mentee_interests, t.f_mentee_subdomains, t.f_mentor_expertise,
                                  t.f_mentor_subdomains, t.f_technology)
@@ -451,14 +452,15 @@ def analytics_overview(t: Tables):
 @check("user_context", "O16", """
 SELECT u.c_custkey AS user_id, CASE WHEN m.user_id IS NOT NULL AND e.user_id IS NOT NULL THEN 'both' WHEN m.user_id IS NOT NULL THEN 'mentor' WHEN e.user_id IS NOT NULL THEN 'mentee' ELSE 'user' END AS role,
        coalesce(d.name, 'General') AS domain_name, coalesce(m.country_code, e.country_code, '') AS country_code, coalesce(n.n_mktname, '') AS country_name
-FROM customer u LEFT JOIN (SELECT * FROM f_mentor_profile WHERE user_id % 2 = 0) m ON m.user_id = u.c_custkey
-LEFT JOIN (SELECT * FROM f_mentee_profile WHERE user_id % 5 <> 0) e ON e.user_id = u.c_custkey
+FROM customer u LEFT JOIN (SELECT * FROM f_mentor_profile WHERE is_active = 1) m ON m.user_id = u.c_custkey
+LEFT JOIN (SELECT * FROM f_mentee_profile WHERE current_level IS NOT NULL) e ON e.user_id = u.c_custkey
 LEFT JOIN f_domains d ON d.domain_id = coalesce(m.domain_id, e.domain_id)
 LEFT JOIN (SELECT n_name, lower(n_name) AS n_mktname FROM nation) n ON n.n_name = coalesce(m.country_code, e.country_code)""")
 def user_context(t: Tables):
     users = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("first_name"), F.lit("").alias("last_name"))
     countries = t.nation.select(F.col("n_name").alias("country_code"), F.lower("n_name").alias("country_name"))
-    out = dashboards.user_context(users, t.f_mentor_profile.where("user_id % 2 = 0"), t.f_mentee_profile.where("user_id % 5 <> 0"), t.f_domains, countries)
+    out = dashboards.user_context(users, t.f_mentor_profile.where("is_active = 1"), t.f_mentee_profile.where("current_level IS NOT NULL"),
+                                  t.f_domains, countries)
     return out.select("user_id", "role", "domain_name", "country_code", "country_name")
 
 
