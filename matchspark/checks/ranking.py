@@ -195,7 +195,7 @@ def program_dataset(t: Tables):
     return sampling.program_dataset(base)
 
 
-@check("split_frames", "H5", "SELECT time_split, count(*) AS n, sum(label) AS positives FROM f_scored GROUP BY time_split")
+@check("split_frames", "H5", "SELECT time_split, count(*) AS n, CAST(sum(label) AS DOUBLE) AS positives FROM f_scored GROUP BY time_split")
 def split_frames(t: Tables):
     out = None
     for name, part in splits.split_frames(t.f_scored).items():
