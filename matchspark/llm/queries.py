@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchspark.llm import bpe, langid, mixing, simhash
+from matchspark.llm import bpe, langid, mixing, multiindex, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_multi_index_hashing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20, among all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return multiindex.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+@query("op2_repeated_bytes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the byte strings of 400 that occur more than once."""
+    width = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", width.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_simhash_classes")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of every whole text and its near-duplicate class."""
