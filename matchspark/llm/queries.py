@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchspark.llm import bpe, fingerprint, langid, mixing, multiindex, repeats, simhash
+from matchspark.llm import bpe, fingerprint, langid, maintext, mixing, multiindex, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op4_edit_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every whole text and of its edited text, and how alike they are."""
