@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchspark.llm import bpe, fingerprint, langid, maintext, mixing, multiindex, repeats, simhash
+from matchspark.llm import bpe, fingerprint, langid, maintext, mixing, multiindex, pii, repeats, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +61,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "fingerprint", "component_id")
 
 
+@query("op6_secret_findings")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding that the forest keeps: where it is and its share of votes."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("__row.doc_id").alias("doc_id"), "__text", F.explode("findings").alias("f")).select(
+        "doc_id", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.kind").alias("kind"),
+        F.round("f.score", 6).alias("score"),
+        F.sha2(F.substring("__text", (F.col("f.start") + 1).cast("int"), (F.col("f.end") - F.col("f.start")).cast("int")), 256)
+        .alias("secret_sha256"))
+
+
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and the bytes they decode to, as digests."""
@@ -109,3 +120,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select(
         F.col("__row.doc_id").alias("doc_id"), "lang_pred", "score").select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans as counts and digest, all spans as a list."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return found.select(F.col("__row.doc_id").alias("doc_id"), *counts,
+                        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
