@@ -198,7 +198,10 @@ def find(docs: DataFrame, *, text_col: str = "text", selector: Selector | None =
     def named(kind: str):
         return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
-    base = F.concat(*[F.transform(F.filter(F.col(k), lambda s, k=k: base_holds(k, s["value"])), named(k)) for k in BASE])
+    def holds(kind: str):
+        return lambda s: base_holds(kind, s["value"])
+
+    base = F.concat(*[F.transform(F.filter(F.col(k), holds(k)), named(k)) for k in BASE])
     text = F.col("__text")
 
     def candidate(kind: str):
