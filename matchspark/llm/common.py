@@ -27,6 +27,14 @@ def texts_of(batch: pa.RecordBatch, column: int) -> list[str]:
     return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table written by ``materialize`` that nothing will read again."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def lower_hex(value: Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")

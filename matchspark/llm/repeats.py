@@ -6,9 +6,8 @@ short aligned strings instead, with the same result:
 
 1. Anchors. In every stretch of ``length`` bytes the gram with the smallest hash (the leftmost of
    equals) is an anchor. Equal stretches choose the same anchor, so they meet aligned to it.
-2. Segments. An anchor's segment holds all stretches that can have chosen it: at most
-   ``2 * length - GRAM`` bytes. Equal segments fold into one with a count; anchors that occur once in
-   the corpus are dropped.
+2. Segments. An anchor's segment holds the stretches that chose it: at most ``2 * length - GRAM``
+   bytes. Equal segments fold into one with a count; anchors that occur once in the corpus are dropped.
 3. Column-wise construction. The segments of an anchor are the strings of ``columnbwt``: one symbol
    per segment each round, updating the order and the common prefixes; neighbours that share
    ``length`` bytes are repeats. Segments arrive sorted from shuffle files, in blocks of whole groups.
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from matchspark.llm.columnbwt import NONE, repeated_windows
-from matchspark.llm.common import materialize, slices
+from matchspark.llm.common import discard, materialize, slices
 
 GRAM = 32
 MAX_GROUP = 16_384
@@ -67,18 +66,25 @@ def window_minimum(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n - width + 1], left[width - 1:n])
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and gram hashes of the anchors of texts that stand in a row and end at ``ends``."""
+def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that stand in a row and end at ``ends``: places, gram hashes, and the bytes around.
+
+    The stretches that chose an anchor start next to each other; the bytes around it are how many lie
+    before it in the first of them and from it on to the end of the last.
+    """
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data)
     place = np.arange(len(h), dtype=np.uint64)
     keys = (h >> np.uint64(_PLACE) << np.uint64(_PLACE)) | place
     least = window_minimum(keys, length - GRAM + 1)
     start = np.arange(len(least))
-    whole = start + length <= ends[np.searchsorted(ends, start, side="right")]
-    at = np.unique((least[whole] & np.uint64((1 << _PLACE) - 1)).astype(np.int64))
-    return at, h[at]
+    start = start[start + length <= ends[np.searchsorted(ends, start, side="right")]]
+    chosen = (least[start] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    last = np.append(first[1:], len(chosen)) - 1 if len(first) else first
+    at = chosen[first]
+    return at, h[at], at - start[first], start[last] + length - at
 
 
 def text_blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], bytes]]:
@@ -104,62 +110,78 @@ def text_blocks(texts: list[bytes], length: int) -> Iterator[tuple[list[int], li
         yield which, offset, parts
 
 
-def segment_of(text: bytes, at: int, length: int) -> tuple[int, bytes]:
-    """How many bytes stand before the anchor, and the bytes of all stretches that may have chosen it."""
-    left = min(at, length - GRAM)
-    return left, text[at - left:at + length]
-
-
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, at, gram, segment) of every anchor; ``docs`` holds (key, data)."""
+    """(key, at, gram, segment, before, from_on) of every anchor; ``docs`` holds (key, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        names = ["key", "at", "gram", "segment", "before", "after"]
         for batch in batches:
             for part in slices(batch):
                 keys = part.column(0).to_numpy()
                 texts = part.column(1).to_pylist()
                 for which, offset, parts in text_blocks(texts, length):
-                    ends = np.cumsum([len(p) for p in parts])
-                    places, grams = anchors(np.frombuffer(b"".join(parts), np.uint8), ends, length)
+                    sizes = np.array([len(p) for p in parts], np.int64)
+                    ends = np.cumsum(sizes)
+                    row = b"".join(parts)
+                    places, grams, before, after = anchors(np.frombuffer(row, np.uint8), ends, length)
                     piece = np.searchsorted(ends, places, side="right")
-                    which, offset = np.array(which, np.int64), np.array(offset, np.int64)
-                    owner = which[piece]
-                    at = places - (ends - [len(p) for p in parts])[piece] + offset[piece]
-                    segments = []
-                    for o, a in zip(owner.tolist(), at.tolist()):
-                        left, segment = segment_of(texts[o], a, length)
-                        segments.append(xxh64_intdigest(segment, left))
+                    owner = np.array(which, np.int64)[piece]
+                    at = places - (ends - sizes)[piece] + np.array(offset, np.int64)[piece]
+                    segments = [xxh64_intdigest(row[p - b:p + a], b) for p, b, a in zip(
+                        places.tolist(), before.tolist(), after.tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(keys[owner]), pa.array(at), pa.array(grams.view(np.int64)),
-                         pa.array(np.array(segments, np.uint64).view(np.int64))], ["key", "at", "gram", "segment"])
+                         pa.array(np.array(segments, np.uint64).view(np.int64)),
+                         pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32))], names)
 
-    return docs.mapInArrow(run, "key long, at long, gram long, segment long")
+    return docs.mapInArrow(run, "key long, at long, gram long, segment long, before int, after int")
 
 
-def cut_segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, segment, copies, before, bytes) of the ``wanted`` anchors (key, at, gram, segment, copies)."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "gram", "segment", "copies")).alias("wanted"))
-    joined = docs.join(lists, "key").select("data", "wanted")
+def packed(docs: DataFrame) -> DataFrame:
+    """(key, id, packed): whole texts compressed for the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
+        for batch in batches:
+            for part in slices(batch):
+                data = [pack(t) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())],
+                                                 ["key", "id", "packed"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("key", "id", "data").mapInArrow(run, f"key long, id {kind}, packed binary")
+
+
+def cut_segments(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, segment, copies, before, bytes, large) of the ``wanted`` segments, from one text that holds each."""
+    lists = wanted.groupBy("one.key").agg(F.collect_list(F.struct(
+        "one.at", "one.before", "one.after", "gram", "segment", "copies", "large")).alias("wanted"))
+    joined = packed(docs).join(lists, "key").select("packed", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
+        from zstandard import ZstdDecompressor
 
-        names = ["gram", "segment", "copies", "before", "bytes"]
+        unpack = ZstdDecompressor().decompress
+        names = ["gram", "segment", "copies", "before", "bytes", "large"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for text, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for data, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    text = unpack(data)
                     for p in places:
-                        left, piece = segment_of(text, p["at"], length)
-                        if (xxh64_intdigest(piece, left) ^ p["segment"]) & (2**64 - 1) == 0:  # the right text
-                            rows.append((p["gram"], p["segment"], p["copies"], left, piece))
-                columns = list(zip(*rows)) if rows else [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+                        piece = text[p["at"] - p["before"]:p["at"] + p["after"]]
+                        if (xxh64_intdigest(piece, p["before"]) ^ p["segment"]) & (2**64 - 1) == 0:  # the right text
+                            rows.append((p["gram"], p["segment"], p["copies"], p["before"], piece, p["large"]))
+                columns = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return joined.mapInArrow(run, "gram long, segment long, copies long, before int, bytes binary")
+    return joined.mapInArrow(run, "gram long, segment long, copies long, before int, bytes binary, large boolean")
 
 
 def _runs(flags: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -177,7 +199,7 @@ def repeats_of_groups(segments: DataFrame, length: int) -> DataFrame:
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         width = 2 * length - GRAM
         columns = np.full((len(rows), width), NONE, np.int16)
-        for i, (_, _, _, before, data) in enumerate(rows):
+        for i, (_, _, _, before, data, *_) in enumerate(rows):
             a = length - GRAM - before
             columns[i, a:a + len(data)] = np.frombuffer(data, np.uint8)
         gram = np.array([r[0] for r in rows], np.int64)
@@ -253,28 +275,34 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     keyed = docs.select(F.col(id_col).alias("id"), data.alias("data"))
     keyed = keyed.withColumn("key", F.xxhash64("id", "data"))
-    found = materialize(anchor_rows(keyed.select("key", "data"), length), "anchors")
-    distinct = materialize(found.groupBy("gram", "segment").agg(
-        F.count("*").alias("copies"), F.min(F.struct("key", "at")).alias("one")), "segments")
-    groups = materialize(distinct.groupBy("gram").agg(F.sum("copies").alias("n"), F.count("*").alias("different"))
-                         .where("n > 1").select("gram", (F.col("different") > max_group).alias("large")), "groups")
-    wanted = distinct.join(groups, "gram").select("one.key", "one.at", "gram", "segment", "copies", "large")
-    small = cut_segments(keyed.select("key", "data"), wanted.where("not large").drop("large"), length)
-    repeats = repeats_of_groups(small, length)
-    if not groups.where("large").isEmpty():
-        large = cut_segments(keyed.select("key", "data"), wanted.where("large").drop("large"), length)
-        repeats = repeats.unionByName(repeats_by_count(materialize(large, "large"), length))
+    everything = materialize(anchor_rows(keyed.select("key", "data"), length), "anchors")
+    twice = materialize(everything.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    found = materialize(everything.join(twice, "gram", "left_semi"), "repeated")
+    discard(everything)
+    distinct = found.groupBy("gram", "segment").agg(
+        F.count("*").alias("copies"), F.min(F.struct("key", "at", "before", "after")).alias("one"))
+    distinct = materialize(distinct, "segments")
+    groups = distinct.groupBy("gram").agg((F.count("*") > max_group).alias("large"))
+    cut = materialize(cut_segments(keyed, distinct.join(groups, "gram")), "cut")
+    repeats = repeats_of_groups(cut.where("not large"), length)
+    if not cut.where("large").isEmpty():
+        repeats = repeats.unionByName(repeats_by_count(cut.where("large"), length))
     repeats = materialize(repeats, "repeats")
+    discard(cut)
     spans = found.join(repeats, ["gram", "segment"]).groupBy("key").agg(
         F.collect_set(F.struct((F.col("at") + F.col("lo")).alias("a"), (F.col("at") + F.col("hi")).alias("b"))).alias("spans"))
-    joined = keyed.join(spans, "key", "left").select("id", "data", "spans")
+    joined = packed(keyed).join(spans, "key", "left").select("id", "packed", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
         kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
         for batch in batches:
             for part in slices(batch):
                 kept, sizes, cut = [], [], []
-                for text, raw in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for data, raw in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    text = unpack(data)
                     runs = merged([(s["a"], s["b"]) for s in raw or []])
                     edges = [0, *[x for r in runs for x in r], len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
