@@ -23,10 +23,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from matchspark.llm.common import slices, texts_of
+from matchspark.llm.common import SLICE_BYTES, slices, texts_of
 
 #: Remembered pieces of a task; beyond that the memory is emptied. Bounds memory, not results.
-REMEMBERED_PIECES = 200_000
+REMEMBERED_PIECES = 100_000
 #: White space next to white space (or at an end): only then does a word depend on its neighbours.
 _LOOSE_SPACE = re.compile(r"\s\s").search
 
@@ -58,15 +58,12 @@ class Vocabulary:
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks must count from 0 without a gap")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        ordered = sorted(ranks, key=ranks.__getitem__)
-        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
-        self.offset = np.concatenate([[0], np.cumsum([len(t) for t in ordered])])
         # every way to put a token together from two others
-        joins = [(ranks[t[:i]] * len(ranks) + ranks[t[i:]], rank) for t, rank in ranks.items()
-                 for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        joins = np.array([(ranks[t[:i]] * len(ranks) + ranks[t[i:]]) << 20 | rank for t, rank in ranks.items()
+                          for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64)
         joins.sort()
-        self.keys = np.array([k for k, _ in joins], np.int64)
-        self.joined = np.array([r for _, r in joins], np.int32)
+        self.keys = joins >> 20
+        self.joined = (joins & ((1 << 20) - 1)).astype(np.int32)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the token that two tokens form, or -1."""
@@ -74,7 +71,17 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.joined[at], -1)
 
-    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+
+class Tokens:
+    """The bytes of every token, in a row."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks.__wrapped__(path)  # not kept: decoding needs the bytes only
+        ordered = sorted(ranks, key=ranks.__getitem__)
+        self.blob = np.frombuffer(b"".join(ordered), np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum([len(t) for t in ordered])])
+
+    def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of tokens in a row, and where each token ends."""
         start = self.offset[ids]
         size = self.offset[ids + 1] - start
@@ -82,6 +89,11 @@ class Vocabulary:
         return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)], ends
 
 
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> Tokens:
+    return Tokens(path)
+
+
 @lru_cache(maxsize=2)
 def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -244,7 +256,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES // 2):
                 ids = encoder_of(vocabulary, pattern).encode(texts_of(part, 1))
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
@@ -264,11 +276,11 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES // 2):
                 ids = part.column(1)
                 sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
                 flat = ids.flatten().to_numpy(zero_copy_only=False)
-                data, ends = vocabulary_of(vocabulary).bytes_of(flat)
+                data, ends = tokens_of(vocabulary).bytes_of(flat)
                 last = np.cumsum(sizes)
                 ends = np.concatenate([[0], ends])[np.concatenate([[0], last])].astype(np.int32)
                 decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data)])
