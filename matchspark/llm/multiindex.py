@@ -8,7 +8,8 @@ found. Their original vectors are then scored in double precision.
 
 The radius of a query follows from its score against a bounded sample of the index: the k-th best of
 the sample is a lower bound of the k-th best of all rows. Rotations, slack and that bound are the only
-things a sample decides; every row is indexed.
+things a sample decides; every row is indexed. Rows below that bound can't be among the k best and are
+not handed on; a query left with fewer than k is asked again without radius and bound.
 
 Blocks: rows are dealt by a hash of their id and content, queries in blocks; each pair of blocks is
 one task's work and returns its k best per query, so hot vectors and copies spread over all blocks.
@@ -27,7 +28,7 @@ from matchspark.llm.binarycodes import Codes, distances, learn
 from matchspark.llm.common import materialize
 
 SAMPLE_ROWS = 4096
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 BLOCK_QUERIES = 4096
 _BITS = 16
 
@@ -88,8 +89,8 @@ class Tables:
 
 
 def best_of_block(index_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, radius: np.ndarray,
-                  codes: Codes, k: int) -> pd.DataFrame:
-    """The k best of one block of the index for every query of one block."""
+                  bound: np.ndarray, codes: Codes, k: int) -> pd.DataFrame:
+    """The k best of one block of the index for every query of one block, as far as they reach its bound."""
     tables = Tables(codes.of_rows(x))
     q_codes = codes.of_queries(q)
     out = {"query_id": [], "vec_id": [], "score": []}
@@ -99,6 +100,7 @@ def best_of_block(index_ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q
         if not len(rows):
             continue
         scores = x[rows] @ q[i]
+        rows, scores = rows[scores >= bound[i]], scores[scores >= bound[i]]
         best = np.lexsort((index_ids[rows], -scores))[:k]
         out["query_id"].append(np.full(len(best), qid))
         out["vec_id"].append(index_ids[rows[best]])
@@ -137,9 +139,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
             scores = q @ sample.T
             kth = min(k, len(sample) - 1)
             bound = -np.partition(-scores, kth, axis=1)[:, kth]  # one more than k: the query may be in the sample
-            cosine = bound / (np.linalg.norm(q, axis=1) * codes.longest)
-            radius = codes.radius(cosine) if len(sample) > k else np.full(len(q), codes.bits)
-            yield pdf.assign(radius=np.asarray(radius, np.int64))
+            reach = np.linalg.norm(q, axis=1) * codes.longest
+            radius = codes.radius(bound / reach)
+            if len(sample) <= k:
+                radius, bound = np.full(len(q), codes.bits), np.full(len(q), -np.inf)
+            yield pdf.assign(radius=np.asarray(radius, np.int64), bound=bound - 1e-9 * reach)
 
     def dealt(df, blocks, name):
         return df.withColumn(name, F.pmod(order, F.lit(blocks)).cast("int"))
@@ -148,13 +152,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         left = dealt(rows, index_blocks, "part").select(
             "part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("block"), "id", "v")
         right = dealt(asked_with_radius, query_blocks, "block").select(
-            F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("part"), "block", "id", "v", "radius")
+            F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("part"), "block", "id", "v", "radius", "bound")
 
         def run(key, a, b):
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             return best_of_block(a["id"].to_numpy(), np.stack(a["v"].to_numpy()), b["id"].to_numpy(),
-                                 np.stack(b["v"].to_numpy()), b["radius"].to_numpy(), codes, k)
+                                 np.stack(b["v"].to_numpy()), b["radius"].to_numpy(), b["bound"].to_numpy(), codes, k)
 
         found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(
             run, "query_id long, vec_id long, score double")
@@ -162,11 +166,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str =
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
             "query_id", "rank", "vec_id", "score")
 
-    first = materialize(ask(asked.mapInPandas(radii, "id long, v array<double>, radius long")), "found")
+    first = materialize(ask(asked.mapInPandas(radii, "id long, v array<double>, radius long, bound double")), "found")
     reach = min(k, stats["n"] - 1)
     full = first.groupBy("query_id").count().where(F.col("count") >= reach)
     short = asked.join(full, asked["id"] == full["query_id"], "left_anti")
     if short.isEmpty():
         return first
-    again = ask(short.withColumn("radius", F.lit(codes.bits).cast("long")))
+    again = ask(short.withColumn("radius", F.lit(codes.bits).cast("long")).withColumn("bound", F.lit(float("-inf"))))
     return first.join(full.select("query_id"), "query_id", "left_semi").unionByName(again)
