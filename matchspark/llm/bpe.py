@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from matchspark.llm.common import SLICE_BYTES, slices, texts_of
 
 #: Remembered pieces of a task; beyond that the memory is emptied. Bounds memory, not results.
-REMEMBERED_PIECES = 100_000
+REMEMBERED_PIECES = 150_000
 #: White space next to white space (or at an end): only then does a word depend on its neighbours.
 _LOOSE_SPACE = re.compile(r"\s\s").search
 
@@ -256,7 +256,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, SLICE_BYTES // 2):
+            for part in slices(batch):
                 ids = encoder_of(vocabulary, pattern).encode(texts_of(part, 1))
                 ends = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
