@@ -86,7 +86,9 @@ class Tokens:
         start = self.offset[ids]
         size = self.offset[ids + 1] - start
         ends = np.cumsum(size)
-        return self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)], ends
+        at = np.repeat((start - (ends - size)).astype(np.int32), size)  # a slice holds less than 2 GB
+        at += np.arange(len(at), dtype=np.int32)
+        return self.blob[at], ends
 
 
 @lru_cache(maxsize=2)
@@ -248,23 +250,43 @@ def encoder_of(path: str, pattern: str) -> Encoder:
     return Encoder(vocabulary_of(path), pattern)
 
 
+def _encoded(part: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+    """(id, ids) of a slice of (id, text)."""
+    ids = encoder.encode(texts_of(part, 1))
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
+    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+    return pa.RecordBatch.from_arrays(
+        [part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "ids"])
+
+
+def _decoded(part: pa.RecordBatch, tokens: Tokens) -> pa.RecordBatch:
+    """(id, ids, bytes) of a slice of (id, ids)."""
+    ids = part.column(1)
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    data, ends = tokens.bytes_of(ids.flatten().to_numpy(zero_copy_only=False))
+    last = np.cumsum(sizes)
+    ends = np.concatenate([[0], ends])[np.concatenate([[0], last])].astype(np.int32)
+    decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([part.column(0), ids, decoded], ["id", "ids", "bytes"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source, source.schema["id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
            vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row (``id_col``, ids) per document, in no order. ``vocabulary`` is a path on every executor."""
     vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source, kind = _texts(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                ids = encoder_of(vocabulary, pattern).encode(texts_of(part, 1))
-                ends = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in ids], out=ends[1:])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "ids"])
+                yield _encoded(part, encoder_of(vocabulary, pattern))
 
-    kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -277,15 +299,27 @@ def decode(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, SLICE_BYTES // 2):
-                ids = part.column(1)
-                sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
-                flat = ids.flatten().to_numpy(zero_copy_only=False)
-                data, ends = tokens_of(vocabulary).bytes_of(flat)
-                last = np.cumsum(sizes)
-                ends = np.concatenate([[0], ends])[np.concatenate([[0], last])].astype(np.int32)
-                decoded = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], ["id", "ids", "bytes"])
+                yield _decoded(part, tokens_of(vocabulary))
 
     kind = source.schema["id"].dataType.simpleString()
     return (source.mapInArrow(run, f"id {kind}, ids array<int>, bytes binary")
             .withColumnsRenamed({"id": id_col, "ids": ids_col}))
+
+
+def round_trip(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+               vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``decode(encode(docs))`` in one pass: (``id_col``, ids, bytes) per document, in no order.
+
+    One Python process per task does both halves, so a task holds one slice and the ids never travel
+    between two processes. The bytes come from the ids alone.
+    """
+    vocabulary, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
+    source, kind = _texts(docs, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                for coded in slices(_encoded(part, encoder_of(vocabulary, pattern)), SLICE_BYTES // 2):
+                    yield _decoded(coded, tokens_of(vocabulary))
+
+    return source.mapInArrow(run, f"id {kind}, ids array<int>, bytes binary").withColumnRenamed("id", id_col)

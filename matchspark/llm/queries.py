@@ -75,7 +75,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bpe_round_trip")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every whole text and the bytes they decode to, as digests."""
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents"))
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
