@@ -74,8 +74,8 @@ class Model:
                 owner.append(i)
         owner = np.array(owner, np.int64)
         for length, at in by_length(seqs).items():
-            for k in range(0, len(at), 4096):
-                part = at[k:k + 4096]
+            for k in range(0, len(at), 1024):
+                part = at[k:k + 1024]
                 p = self.net.probabilities(matrix([seqs[i] for i in part], length))[1:-1].sum(axis=0)
                 np.add.at(out, owner[part], np.concatenate([p, np.full((len(part), 1), length - 2.0)], axis=1))
         return out
