@@ -49,7 +49,7 @@ FROM (SELECT coalesce(p.mentor_id, e.mentor_id) AS mentor_id, coalesce(programs,
 
 ORACLE_VIEWS["x_popularity"] = """
 SELECT *, CASE WHEN cap > 0 THEN least(raw, cap) ELSE raw END AS popularity FROM (
-  SELECT *, (SELECT CASE WHEN count(*) > 10 THEN quantile_cont(raw, 0.95) ELSE max(raw) END FROM x_popularity_raw) AS cap
+  SELECT *, (SELECT quantile_cont(raw, 0.95) FROM x_popularity_raw) AS cap
   FROM x_popularity_raw)"""
 
 ORACLE_VIEWS["x_social"] = """
@@ -149,7 +149,7 @@ JOIN x_asof_counts c ON c.mentor_id = p.mentor_id
 
 ORACLE_VIEWS["x_asof_popularity"] = """
 SELECT mentee_id, mentor_id, CASE WHEN cap > 0 THEN least(raw, cap) ELSE raw END AS popularity FROM (
-  SELECT *, (SELECT CASE WHEN count(*) > 10 THEN quantile_cont(raw, 0.95) ELSE max(raw) END FROM x_asof_raw) AS cap
+  SELECT *, (SELECT quantile_cont(raw, 0.95) FROM x_asof_raw) AS cap
   FROM x_asof_raw)"""
 
 ORACLE_VIEWS["x_communities"] = """

@@ -457,11 +457,11 @@ def diverse_selection(t: Tables):
 @check("prefiltered_lists", "F21 F2", """
 WITH r AS (SELECT *, 1.0 + 0.3 * CASE WHEN mx > 0 THEN spots_left / CAST(mx AS DOUBLE) ELSE 0 END + 0.2 * requirement_coverage_score
              + 0.2 * least(days_until_deadline / 30.0, 1.0) AS rough
-           FROM (SELECT *, max(spots_left) OVER (PARTITION BY mentee_id) AS mx, count(*) OVER (PARTITION BY mentee_id) AS n FROM f_program_scored))
-SELECT mentee_id, post_id FROM (SELECT *, row_number() OVER (PARTITION BY mentee_id ORDER BY round(rough, 9) DESC, post_id) AS rn FROM r) WHERE n <= 45 OR rn <= 30""")
+           FROM (SELECT *, max(spots_left) OVER (PARTITION BY mentee_id) AS mx FROM f_program_scored))
+SELECT mentee_id, post_id FROM (SELECT *, row_number() OVER (PARTITION BY mentee_id ORDER BY round(rough, 9) DESC, post_id) AS rn FROM r) WHERE rn <= 30""")
 def prefiltered_lists(t: Tables):
     rows = t.f_program_scored
-    return rerank.prefilter_lists(rows, max_size=45, target=30).select("mentee_id", "post_id")
+    return rerank.prefilter_lists(rows, target=30).select("mentee_id", "post_id")
 
 
 @check("user_prefilter", "F22", """

@@ -440,8 +440,8 @@ def latest_programs_per_mentor(t: Tables):
 
 
 @check("analytics_overview", "O15", """
-SELECT m.user_id AS mentor_id, coalesce(least(p.n, 100), 0) AS program_count, coalesce(least(a.n, 100), 0) AS active_mentees_count, coalesce(least(q.n, 100), 0) AS pending_applications_count,
-       round(CASE WHEN p.n > 0 THEN coalesce(least(a.n, 100), 0) / CAST(least(p.n, 100) AS DOUBLE) ELSE 0 END, 6) AS average_mentees_per_program
+SELECT m.user_id AS mentor_id, coalesce(p.n, 0) AS program_count, coalesce(a.n, 0) AS active_mentees_count, coalesce(q.n, 0) AS pending_applications_count,
+       round(CASE WHEN p.n > 0 THEN coalesce(a.n, 0) / CAST(p.n AS DOUBLE) ELSE 0 END, 6) AS average_mentees_per_program
 FROM f_mentor_profile m LEFT JOIN (SELECT mentor_id, count(*) AS n FROM f_programs GROUP BY mentor_id) p ON p.mentor_id = m.user_id
 LEFT JOIN (SELECT mentor_id, count(*) AS n FROM f_mentorships WHERE status = 'Active' GROUP BY mentor_id) a ON a.mentor_id = m.user_id
 LEFT JOIN (SELECT o.mentor_id, count(*) AS n FROM f_applications f JOIN f_programs o ON o.post_id = f.post_id WHERE lower(f.status) = 'pending' GROUP BY o.mentor_id) q ON q.mentor_id = m.user_id""")

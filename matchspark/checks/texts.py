@@ -22,6 +22,9 @@ def sql_rules(rules, default: str) -> str:
     return "CASE " + " ".join(f"WHEN {sql_words(w)} THEN '{label}'" for label, w in rules) + f" ELSE '{default}' END"
 
 
+SPACES = r"[\s\x{0B}\x{85}\p{Z}]"
+STRIPPED = f"regexp_replace(text, '^{SPACES}+|{SPACES}+$', '', 'g')"
+
 MESSAGES = """
 SELECT conv_id * 100 + turn AS message_id, conv_id, turn, role,
        concat(CASE conv_id % 11 WHEN 0 THEN 'hi ' WHEN 1 THEN 'How do I submit ' WHEN 2 THEN 'Recommend me mentors ' WHEN 3 THEN 'what is ' WHEN 4 THEN 'my profile '
@@ -43,7 +46,7 @@ GREETING_SQL = "(" + " OR ".join(
 
 
 @check("mentee_intents", "N7", f"""
-WITH m AS ({MESSAGES}), l AS (SELECT message_id, lower(trim(text)) AS t FROM m)
+WITH m AS ({MESSAGES}), l AS (SELECT message_id, lower({STRIPPED}) AS t FROM m)
 SELECT message_id, CASE WHEN {sql_words(lexicon.ABUSE)} THEN 'off_topic' WHEN {GREETING_SQL} THEN 'greeting' ELSE {sql_rules(lexicon.MENTEE_RULES, 'general_question')} END AS intent FROM l""")
 def mentee_intents(t: Tables):
     return messages(t).select("message_id", text.mentee_intent(F.col("text")).alias("intent"))
@@ -68,7 +71,7 @@ def intent_from_reply(t: Tables):
 
 
 @check("message_sentiment", "N10", f"""
-WITH m AS ({MESSAGES}), l AS (SELECT message_id, lower(trim(text)) AS t FROM m),
+WITH m AS ({MESSAGES}), l AS (SELECT message_id, lower({STRIPPED}) AS t FROM m),
 s AS (SELECT message_id, t, {sql_words(lexicon.POSITIVE_WORDS)} AS p, {sql_words(lexicon.NEGATIVE_WORDS)} AS n FROM l)
 SELECT message_id, CASE WHEN t = '' THEN 'neutral' WHEN p AND NOT n THEN 'positive' WHEN n AND NOT p THEN 'negative' ELSE 'neutral' END AS label,
        CAST(CASE WHEN t = '' THEN 1.0 WHEN p <> n THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence FROM s""")
@@ -83,7 +86,7 @@ SELECT f.mentor_id, f.rating, concat(CASE f.mentorship_id % 4 WHEN 0 THEN 'good
 
 
 @check("mentor_satisfaction", "N11", f"""
-WITH r AS ({REVIEWS}), l AS (SELECT mentor_id, rating, lower(trim(text)) AS t FROM r),
+WITH r AS ({REVIEWS}), l AS (SELECT mentor_id, rating, lower({STRIPPED}) AS t FROM r),
 s AS (SELECT mentor_id, rating, t, CASE WHEN p AND NOT n THEN 'positive' WHEN n AND NOT p THEN 'negative' ELSE 'neutral' END AS label FROM
       (SELECT *, {sql_words(lexicon.POSITIVE_WORDS)} AS p, {sql_words(lexicon.NEGATIVE_WORDS)} AS n FROM l)),
 v AS (SELECT *, greatest(0, CASE label WHEN 'positive' THEN least(1, rating / 5.0) WHEN 'negative' THEN least(1, rating / 5.0) - 0.3 ELSE 0.4 + 0.4 * least(1, rating / 5.0) END) AS sat FROM s)
@@ -93,15 +96,12 @@ def mentor_satisfaction(t: Tables):
     return text.satisfaction_by_mentor(t.sql(REVIEWS)).drop("average_rating")
 
 
-SPACES = r"[\s\x{0B}\x{85}\p{Z}]"
-
-
 @check("cleaned_feedback", "N12", f"""
 WITH a AS (SELECT message_id, regexp_replace('-- ' || text || ' ..  ( ok ) ، yes', '^{SPACES}+|{SPACES}+$', '', 'g') AS t FROM ({MESSAGES})),
 b AS (SELECT message_id, regexp_replace(regexp_replace(regexp_replace(t, '{SPACES}+', ' ', 'g'), '\\.{{2,}}', '.', 'g'), '،{{2,}}', '،', 'g') AS t FROM a),
 c AS (SELECT message_id, regexp_replace(regexp_replace(t, '{SPACES}+([,.!?،؛:])', '\\1', 'g'), '([،؛:]){SPACES}*', '\\1 ', 'g') AS t FROM b),
 d AS (SELECT message_id, regexp_replace(regexp_replace(regexp_replace(t, '{SPACES}+\\(', ' (', 'g'), '\\){SPACES}+', ') ', 'g'), '^[\\d\\-\\*•]+{SPACES}*', '', 'g') AS t FROM c)
-SELECT message_id, CASE WHEN length(t) < 10 THEN '' ELSE substr(ltrim(t), 1, 500) END AS cleaned FROM d""")
+SELECT message_id, CASE WHEN length(t) < 10 THEN '' ELSE ltrim(t) END AS cleaned FROM d""")
 def cleaned_feedback(t: Tables):
     raw = F.concat(F.lit("-- "), F.col("text"), F.lit(" ..  ( ok ) ، yes"))
     return messages(t).select("message_id", text.clean_feedback(raw).alias("cleaned"))

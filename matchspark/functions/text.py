@@ -16,6 +16,11 @@ LATIN = r"[A-Za-z0-9@#%&]"
 SPACE = r"[\s\u0085\p{Z}]"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """The text contains at least one of the words (plain substrings)."""
     pattern = "|".join(re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", w) for w in words)
@@ -45,7 +50,7 @@ def starts_with_word(text: Column, words: Sequence[str]) -> Column:
 
 def mentee_intent(text: Column) -> Column:
     """Intent of a mentee message: abuse first, then greetings, then the keyword rules in order."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    t = F.lower(strip(F.coalesce(text, F.lit(""))))
     rest = first_match(t, lexicon.MENTEE_RULES, "general_question")
     return (F.when(any_of(t, lexicon.ABUSE), "off_topic")
             .when(starts_with_word(t, lexicon.GREETINGS), "greeting").otherwise(rest))
@@ -58,10 +63,10 @@ def mentor_intent(text: Column) -> Column:
 def intent_from_reply(reply: Column, valid: Sequence[str], aliases: Mapping[str, str] | None = None) -> Column:
     """A label read from model output: JSON field, JSON inside text, the bare label, a mentioned label."""
     aliases = aliases or {}
-    raw = F.trim(reply)
+    raw = strip(reply)
 
     def known(label: Column) -> Column:
-        name = F.lower(F.trim(label))
+        name = F.lower(strip(label))
         out = F.when(name.isin(*valid), name)
         for alias, target in aliases.items():
             out = out.when(name == alias, F.lit(target))
@@ -80,13 +85,13 @@ def intent_from_reply(reply: Column, valid: Sequence[str], aliases: Mapping[str,
 def lenient_json(text: Column, schema: str) -> Column:
     """JSON text, or the outermost JSON object inside other text, parsed; null when neither parses."""
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    whole = F.when(F.trim(text).rlike(r"(?s)^\{.*\}$"), text)
+    whole = F.when(strip(text).rlike(r"(?s)^\{.*\}$"), text)
     return F.from_json(F.coalesce(whole, F.nullif(inner, F.lit(""))), schema)
 
 
 def sentiment(text: Column) -> Column:
     """Struct of label, confidence and three scores from keywords; empty text is surely neutral."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    t = F.lower(strip(F.coalesce(text, F.lit(""))))
     good, bad = any_of(t, lexicon.POSITIVE_WORDS), any_of(t, lexicon.NEGATIVE_WORDS)
 
     def result(label: str, confidence: float, pos: float, neu: float, neg: float) -> Column:
@@ -108,7 +113,7 @@ def satisfaction(rating: Column, label: Column) -> Column:
 
 def satisfaction_by_mentor(feedback: DataFrame, text: str = "text") -> DataFrame:
     """Satisfaction rate, label counts and mean rating of every mentor."""
-    rows = feedback.withColumn("_comment", F.trim(F.col(text))).withColumn("_label", sentiment(F.col("_comment"))["label"])
+    rows = feedback.withColumn("_comment", strip(F.col(text))).withColumn("_label", sentiment(F.col("_comment"))["label"])
     written = F.coalesce(F.col("_comment") != "", F.lit(False))
     label = F.col("_label")
     return rows.groupBy("mentor_id").agg(
@@ -117,16 +122,15 @@ def satisfaction_by_mentor(feedback: DataFrame, text: str = "text") -> DataFrame
         F.sum(flag(written)).alias("total"), F.bround(F.avg("rating"), 2).alias("average_rating"))
 
 
-def clean_feedback(text: Column, max_chars: int = 500) -> Column:
+def clean_feedback(text: Column) -> Column:
     """Tidy whitespace, repeated punctuation and leading bullets; text under ten letters becomes empty."""
-    edge = rf"^{SPACE}+|{SPACE}+$"
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), edge, "")
+    t = strip(F.coalesce(text, F.lit("")))
     for pattern, new in [
         (rf"{SPACE}+", " "), (r"\.{2,}", "."), (r"،{2,}", "،"), (rf"{SPACE}+([,.!?،؛:])", "$1"),
         (rf"([،؛:]){SPACE}*", "$1 "), (rf"{SPACE}+\(", " ("), (rf"\){SPACE}+", ") "), (rf"^[\d\-\*•]+{SPACE}*", ""),
     ]:
         t = F.regexp_replace(t, pattern, new)
-    return F.when(F.length(t) < 10, F.lit("")).otherwise(F.substring(F.ltrim(t), 1, max_chars))
+    return F.when(F.length(t) < 10, F.lit("")).otherwise(F.ltrim(t))
 
 
 def separate_scripts(text: Column) -> Column:

@@ -165,12 +165,11 @@ def pending_applications(applications: DataFrame, posts: DataFrame, users: DataF
         "mentor_id", "app_id", "post_id", "program_title", "mentee_id", F.trim("mentee_name").alias("mentee_name"), "applied_at")
 
 
-def analytics_overview(profile: DataFrame, posts: DataFrame, mentorships: DataFrame, applications: DataFrame,
-                       feed_limit: int = 100) -> DataFrame:
+def analytics_overview(profile: DataFrame, posts: DataFrame, mentorships: DataFrame, applications: DataFrame) -> DataFrame:
     """Counts of the four dashboard feeds of every mentor and its mentees per program."""
 
     def count(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("mentor_id").agg(F.least(F.count("*"), F.lit(feed_limit)).alias(name))
+        return df.groupBy("mentor_id").agg(F.count("*").alias(name))
 
     owners = posts.select("post_id", "mentor_id")
     waiting = applications.where(F.lower("status").isin("pending", "under review")).select("post_id").join(owners, "post_id")

@@ -125,12 +125,12 @@ def run(raw: dict[str, DataFrame], top_k: int = 50, high_cap: int = 80, low_cap:
 
 def tune(raw: dict[str, DataFrame], configs: list[dict] | None = None, top_k: int = 30, min_coverage: float = 60.0,
          min_gain: float = 0.01, max_gap: float = 0.03, use_factors: bool = True) -> DataFrame:
-    """Try up to eight settings; one row each with validation and test NDCG and hit rate, best first.
+    """Try every setting; one row each with validation and test NDCG and hit rate, best first.
 
     Pair features are computed once for the largest caps; every setting cuts its pool out of them by
     rank. Stops early when coverage is high and NDCG no longer improves.
     """
-    configs = (configs or CONFIGS)[:8]
+    configs = configs or CONFIGS
     p = prepare(raw, use_factors)
     widest = max(c["high_cap"] + c["low_cap"] for c in configs)
     ranked = materialize(candidates.ranked_candidates(p.mentees, p.mentors, p.subdomains, top_k, widest), "ranked")

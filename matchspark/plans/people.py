@@ -133,9 +133,9 @@ def popularity_raw(enrollment: Column, program: Column, engagement: Column | Non
 
 
 def capped(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``column`` cut at its 95 % quantile (its maximum for ten rows or fewer), as ``name``."""
-    ends = quantiles_long(df, [column], [POPULARITY_CAP_QUANTILE, 1.0])
-    cap = ends.agg(F.when(F.max("total") > 10, F.min("value")).otherwise(F.max("value"))).scalar()
+    """``column`` cut at its 95 % quantile, as ``name``."""
+    ends = quantiles_long(df, [column], [POPULARITY_CAP_QUANTILE])
+    cap = ends.agg(F.min("value")).scalar()
     rest = [c for c in df.columns if c != column]
     cut = F.when(F.col("_cap") > 0, F.least(F.col(column), F.col("_cap"))).otherwise(F.col(column))
     return df.select("*", cap.alias("_cap")).select(*rest, cut.alias(name))

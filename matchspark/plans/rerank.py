@@ -225,13 +225,13 @@ def rerank_programs(scored: DataFrame, k: int = 10) -> DataFrame:
     return best.withColumn("explanation_metadata", program_metadata(best)).withColumn("pred_score", F.col("rerank_score"))
 
 
-def overexposed(recs: DataFrame, share: float = EXPOSURE_SHARE) -> DataFrame:
-    """Programs that take more than their share of a list of over twenty recommendations."""
+def overexposed(recs: DataFrame, share: float = EXPOSURE_SHARE, min_total: int = 0) -> DataFrame:
+    """Programs that take more than their share of all recommendations, if those are over ``min_total``."""
     total = recs.agg(F.count("*")).scalar()
     counts = recs.groupBy("post_id").agg(F.count("*").alias("recommended")).select("*", total.alias("total"))
     limit = F.greatest(F.lit(2), F.floor(F.col("total") * share))
     return counts.withColumn("max_allowed", limit).where(
-        (F.col("total") > 20) & (F.col("recommended") > F.col("max_allowed")))
+        (F.col("total") > min_total) & (F.col("recommended") > F.col("max_allowed")))
 
 
 def within_level(df: DataFrame, max_gap: int = 1, level: str = "experience_level_num",
@@ -309,15 +309,15 @@ def domain_diversity(ranked: DataFrame, head: int = 15, per_domain: int = 3, fac
 
 
 def diverse_selection(ranked: DataFrame, k: int = 10, per_mentor: int = 3, per_subdomain: int = 4,
-                      limit: int = 250, score: str = "score") -> DataFrame:
+                      score: str = "score") -> DataFrame:
     """Greedy pick down each list: few per mentor and subdomain, then refill to ``k``.
 
-    The choice depends on the choices before it, so it runs as a fold over the mentee's list, which
-    the prefilter before this step keeps at ``limit`` rows or fewer.
+    The choice depends on the choices before it, so it runs as a fold over the mentee's whole
+    list, which the candidate caps bound.
     """
     order = [F.col(score).desc(), F.col("post_id")]
-    head = grouped_topk(ranked.select("mentee_id", "post_id", "mentor_id", "subdomain_id", score),
-                        ["mentee_id"], order, limit, rank="place")
+    head = ranked.select("mentee_id", "post_id", "mentor_id", "subdomain_id", score).withColumn(
+        "place", F.row_number().over(Window.partitionBy("mentee_id").orderBy(*order)))
     item = F.struct("place", "post_id", "mentor_id", "subdomain_id", F.col(score).alias("score"))
     lists = head.groupBy("mentee_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -344,13 +344,14 @@ def prefilter_score(df: DataFrame) -> Column:
     return 1.0 + 0.3 * share + 0.2 * optional(df, "requirement_coverage_score") + 0.2 * F.least(days / 30.0, F.lit(1.0))
 
 
-def prefilter_lists(df: DataFrame, max_size: int = 250, target: int = 150) -> DataFrame:
-    """Lists of more than ``max_size`` keep the ``target`` best by the rough score."""
-    sized = with_group_stats(df, ["mentee_id"], _n=F.count("*"), _max_spots=F.max(optional(df, "spots_left", 1.0)))
+def prefilter_lists(df: DataFrame, target: int | None = None) -> DataFrame:
+    """The ``target`` best of every list by the rough score; whole lists without a target."""
+    if target is None:
+        return df
+    sized = with_group_stats(df, ["mentee_id"], _max_spots=F.max(optional(df, "spots_left", 1.0)))
     ranked = grouped_topk(sized.withColumn("_rough", F.round(prefilter_score(df), 9)), ["mentee_id"],
-                          [F.col("_rough").desc(), F.col("post_id")], max_size, rank="_place")
-    kept = ranked.where((F.col("_n") <= max_size) | (F.col("_place") <= target))
-    return kept.drop("_n", "_max_spots", "_rough", "_place")
+                          [F.col("_rough").desc(), F.col("post_id")], target)
+    return ranked.drop("_max_spots", "_rough")
 
 
 def rough_user_prefilter(pairs: DataFrame, k: int = 50) -> DataFrame:

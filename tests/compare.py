@@ -79,7 +79,7 @@ def main(argv: list[str]) -> int:
     from matchspark.checks.registry import QUERIES
     areas = {n: getattr(f, "area", "") for n, f in QUERIES.items()}
     for name, fn in entry.queries().items():
-        if wanted and not any(w in name or w == areas[name] for w in wanted):
+        if wanted and not any(w in name or w == areas.get(name) for w in wanted):
             continue
         start = time.time()
         try:

@@ -42,6 +42,18 @@ def test_intent_from_reply(spark):
     assert all(r.want == r.got for r in got)
 
 
+def test_white_space_of_any_kind_is_stripped(spark):
+    df = spark.createDataFrame([("\t\nhello there",), ("\n\r\n",)], "text string")
+    got = df.select(text.mentee_intent(F.col("text")), text.sentiment(F.col("text"))["confidence"]).collect()
+    assert got[0][0] == "greeting" and got[1][1] == 1.0
+
+
+def test_long_feedback_stays_whole(spark):
+    long = "useful words " * 200 + "end"
+    df = spark.createDataFrame([(long,)], "t string")
+    assert df.select(text.clean_feedback(F.col("t"))).first()[0] == long
+
+
 def test_sentiment_and_satisfaction(spark):
     df = spark.createDataFrame([("Great mentor", 5), ("not helpful", 4), ("", 3), ("ok", 5)], "text string, rating int")
     labels = [r[0] for r in df.select(text.sentiment(F.col("text"))["label"]).collect()]
