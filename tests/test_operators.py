@@ -208,6 +208,14 @@ def test_diverse_selection_by_hand(spark):
     assert got == [0, 1, 2, 6, 7, 8, 3]
 
 
+def test_long_lists_are_read_to_their_end(spark):
+    # 300 programs of one mentor, then another mentor's: the pick has to come from place 301
+    data = [(1, i, 1 if i < 300 else 2, i, 1000.0 - i) for i in range(301)]
+    df = spark.createDataFrame(data, "mentee_id long, post_id long, mentor_id long, subdomain_id long, score double")
+    assert [r.post_id for r in rerank.diverse_selection(df, k=4).orderBy("rank").collect()] == [0, 1, 2, 300]
+    assert rerank.prefilter_lists(df).count() == 301 and rerank.prefilter_lists(df, target=7).count() == 7
+
+
 def test_recent_sessions_and_decay(spark):
     shown = spark.createDataFrame([(1, s, 10) for s in range(5)] + [(1, 4, 11)], "mentee_id long, session long, mentor_id long")
     assert {r.session for r in rerank.keep_recent_sessions(shown).collect()} == {2, 3, 4}
