@@ -2,56 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchspark.functions import lexicon
 from matchspark.functions.text import any_of
 from matchspark.operators.topk import grouped_topk
 
 MIN_KEYWORD, MIN_SCORE = 4, 4
-INLINE_KEYWORDS = 2000
+#: Keywords meet messages on their first letters: as many as the longest of these that fits.
+STARTS = (4, 8)
 
 
-def match_faq(messages: DataFrame, faq: DataFrame, text: str = "text", inline_limit: int = INLINE_KEYWORDS) -> DataFrame:
+def match_faq(messages: DataFrame, faq: DataFrame, text: str = "text") -> DataFrame:
     """Messages with the best FAQ entry: the one whose contained keywords are longest in sum.
 
     ``faq`` has one row per (entry_id, keyword). Keywords under four letters are ignored, a sum under
-    four is no match, and the lower entry id wins ties. A short keyword list is tested inside each
-    row; a longer one is joined on the word starts found in each message.
+    four is no match, and the lower entry id wins ties. Each distinct keyword meets each message that
+    has its start once; entries are attached to the keywords found.
     """
-    keywords = faq.select("entry_id", F.lower("keyword").alias("keyword")).where(
-        F.length("keyword") >= MIN_KEYWORD).withColumn("size", F.length("keyword"))
-    if keywords.limit(inline_limit + 1).count() <= inline_limit:
-        found = _scores_inline(messages, keywords, text)
-    else:
-        found = _scores_by_substring(messages, keywords, text)
-    best = grouped_topk(found.where(F.col("score") >= MIN_SCORE), ["message_id"],
+    keywords = faq.select("entry_id", F.lower("keyword").alias("keyword")).where(F.length("keyword") >= MIN_KEYWORD)
+    rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"))
+    found = _contained(rows, keywords.select("keyword").distinct())
+    scores = found.join(keywords, "keyword").groupBy("message_id", "entry_id").agg(
+        F.sum(F.length("keyword")).alias("score"))
+    best = grouped_topk(scores.where(F.col("score") >= MIN_SCORE), ["message_id"],
                         [F.col("score").desc(), F.col("entry_id")], 1)
     return messages.join(best, "message_id", "left")
 
 
-def _scores_inline(messages: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    entries = keywords.groupBy("entry_id").agg(F.collect_list(F.struct("keyword", "size")).alias("words"))
-    listed = entries.agg(F.collect_list(F.struct("entry_id", "words"))).scalar()
-    rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"), listed.alias("_e"))
-    hits = F.transform("_e", lambda e: F.struct(
-        e["entry_id"].alias("entry_id"),
-        F.aggregate(F.filter(e["words"], lambda w: F.contains(F.col("_t"), w["keyword"])), F.lit(0),
-                    lambda s, w: s + w["size"]).alias("score")))
-    return rows.select("message_id", F.inline(F.filter(hits, lambda h: h["score"] > 0)))
+def _contained(rows: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(message_id, keyword) for every keyword that a message holds."""
 
+    def starts(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substr("_t", i, F.lit(n)))
 
-def _scores_by_substring(messages: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
-    """Messages and keywords meet on the first letters of the keyword, then the whole keyword is tested."""
-    rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"))
-    places = F.sequence(F.lit(1), F.length("_t") - MIN_KEYWORD + 1)
-    starts = (
-        rows.where(F.length("_t") >= MIN_KEYWORD).select("message_id", F.explode(F.array_distinct(F.transform(
-            places, lambda i: F.substr("_t", i, F.lit(MIN_KEYWORD))))).alias("_start"))
-    )
-    named = keywords.withColumn("_start", F.substring("keyword", 1, MIN_KEYWORD))
-    met = starts.join(named, "_start").join(rows, "message_id").where(F.contains("_t", "keyword"))
-    return met.groupBy("message_id", "entry_id").agg(F.sum("size").alias("score"))
+    seen = rows.select("message_id", F.explode(F.array_distinct(F.concat(*map(starts, STARTS)))).alias("_start"))
+    start = F.substring("keyword", 1, STARTS[0])
+    for n in STARTS[1:]:
+        start = F.when(F.length("keyword") >= n, F.substring("keyword", 1, n)).otherwise(start)
+    named = keywords.withColumn("_start", start)
+    return seen.join(named, "_start").join(rows, "message_id").where(F.contains("_t", "keyword")).select(
+        "message_id", "keyword")
 
 
 def mentioned_mentor(messages: DataFrame, recommendations: DataFrame, text: str = "text") -> DataFrame:
