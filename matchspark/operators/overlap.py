@@ -8,9 +8,9 @@ row in three ways, and each way needs a bounded number of candidates:
 * it shares exactly one token: right rows with that token that look alike to the score form one
   posting list; its first k members are enough, because every member ahead of the pair scores at
   least as much (extra shared tokens only help);
-* it shares two or more: both sides meet on couples of tokens, so a popular token alone is never a
-  join key. Couples where one token implies the other (a skill and its own field) are no keys
-  either; the posting list of the implying token covers them.
+* it shares two or more: the candidates of the first two ways give each left row a floor, the value
+  of its k-th best so far. A right class tells how many tokens a pair must share to reach it, and
+  with that many needed only a few of the rarest tokens have to be looked up (``reaching_pairs``).
 
 Right rows that are alike in every respect (copies) are cut to k per kind before the last join.
 """
@@ -21,7 +21,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchspark.operators.topk import grouped_topk
+from matchspark.operators.topk import attach_list, grouped_topk
+
+#: Values this close to a floor count as reaching it: lists compare scores at nine digits.
+SLACK = 1e-8
 
 
 def bridge(df: DataFrame, key: str, element: str) -> DataFrame:
@@ -54,23 +57,50 @@ def posting_candidates(left_tokens: DataFrame, right_tokens: DataFrame, *, left_
         best.select(*token, *left_key, right_id, *list_key), [*token, *left_key])
 
 
-def token_couples(tokens: DataFrame, key: str, implied: DataFrame | None = None) -> DataFrame:
-    """(key, a, b) for every two tokens a < b of a key, without the couples listed in ``implied``."""
-    sets = tokens.select(key, "token").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias("_all"))
-    couples = F.flatten(F.transform("_all", lambda x: F.transform(
-        F.filter("_all", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    out = sets.where(F.size("_all") > 1).select(key, F.inline(couples))
-    return out if implied is None else out.join(implied, ["a", "b"], "left_anti").select(key, "a", "b")
+def reaching_pairs(left: DataFrame, left_tokens: DataFrame, right: DataFrame, right_tokens: DataFrame, *, left_id: str,
+                   right_id: str, classes: Sequence[str], tops: Sequence[Column], floor: DataFrame,
+                   reach: Callable[[Column], Column], part_rows: int = 20_000) -> DataFrame:
+    """Pairs sharing two or more tokens that can still reach the floor of their left row.
 
+    ``reach(o)`` is the best value a left row can get from a right row of a class by sharing ``o``
+    tokens; it must not fall with ``o``. It may use the columns of ``left``, the ``classes`` (bounded
+    by the taxonomy: levels, domains, set sizes) and the ``tops`` of a class (aggregates of ``right``).
+    ``floor`` holds (left_id, _floor), the value of the k-th best pair known; rows without one ask
+    for everything.
 
-def multi_overlap_pairs(left_tokens: DataFrame, right_tokens: DataFrame, *, left_id: str, right_id: str,
-                        implied: DataFrame | None = None) -> DataFrame:
-    """Pairs sharing a couple of tokens (other than an ``implied`` one). ``implied`` is a taxonomy: small."""
-    return (
-        token_couples(left_tokens, left_id, implied)
-        .join(token_couples(right_tokens, right_id, implied), ["a", "b"])
-        .select(left_id, right_id).distinct()
+    Per class the floor gives the least number of tokens to share. A pair sharing that many of n
+    tokens shares one of any n - least + 1, so only the rarest so many of the left row are looked up.
+    The lookup of a token with more than ``part_rows`` right rows is split by a hash of the right id.
+    """
+    common = right_tokens.groupBy("token").agg(F.count("*").alias("_n"))
+    rare = left_tokens.select(left_id, "token").join(common, "token").groupBy(left_id).agg(
+        F.array_sort(F.collect_set(F.struct("_n", "token"))).alias("_rare")).where(F.size("_rare") > 1)
+    kinds = right.groupBy(*classes).agg(*tops)
+    entries = kinds.agg(F.collect_list(F.struct(*kinds.columns))).scalar()
+    offered = attach_list(left.join(rare, left_id).join(floor, left_id, "left"), entries, "_class").select("*", "_class.*")
+    n = F.size("_rare")
+    able = F.filter(F.sequence(F.lit(2), n), lambda o: F.col("_floor").isNull() | (reach(o) >= F.col("_floor") - SLACK))
+    asks = offered.withColumn("_least", F.get(able, F.lit(0))).where(F.col("_least").isNotNull())
+    parts = F.ceil(F.col("_n") / part_rows).cast("int")
+    probes = (
+        asks.select(left_id, *[F.col(c).alias(f"_l_{c}") for c in classes],
+                    F.explode(F.slice("_rare", F.lit(1), n - F.col("_least") + 1)).alias("_p"))
+        .select("*", "_p.token", "_p._n")
+        .select(left_id, *[f"_l_{c}" for c in classes], F.col("token").alias("_l_token"),
+                F.explode(F.sequence(F.lit(0), parts - 1)).alias("_l_part"))
     )
+    index = right_tokens.select(right_id, "token").join(right.select(right_id, *classes), right_id).join(
+        common, "token").withColumn("part", F.pmod(F.xxhash64(right_id), parts.cast("long")).cast("int"))
+    met = (F.col("token") == F.col("_l_token")) & (F.col("part") == F.col("_l_part"))
+    for c in classes:
+        met = met & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+    return probes.join(index, met).select(left_id, right_id).distinct()
+
+
+def floors(best: DataFrame, left_id: str, value: Column, k: int) -> DataFrame:
+    """(left_id, _floor): the least value of a best list that is full."""
+    return best.groupBy(left_id).agg(F.count("*").alias("_held"), F.min(value).alias("_floor")).where(
+        F.col("_held") >= k).select(left_id, "_floor")
 
 
 def without_copies(right: DataFrame, kind: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
