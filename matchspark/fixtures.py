@@ -2,6 +2,8 @@
 
 Every view is plain SQL that Spark and DuckDB both run: customer = mentee, supplier = mentor,
 part = program, orders with lineitem = applications, events = engagement, nation = country.
+The lines of an order have roles by number: 1 application and feedback, 2 and 5 interests, 3 follows,
+4 communities, 6 and 7 expertise. Requirements and the dense views read every line.
 """
 
 from __future__ import annotations
@@ -64,12 +66,20 @@ SELECT user_id, first_name, last_name, is_active FROM f_users WHERE role = 'ment
 VIEWS["f_mentee_interests"] = """
 SELECT o_custkey AS mentee_id, l_partkey % 154 + 1 AS technology_id, MAX(l_linenumber % 4 + 1) AS experience_level
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-WHERE l_linenumber <= 2 AND o_orderpriority LIKE '1-%'
+WHERE l_linenumber IN (2, 5)
 GROUP BY o_custkey, l_partkey % 154 + 1"""
 
 VIEWS["f_mentor_expertise"] = """
 SELECT DISTINCT l_suppkey AS mentor_id, l_partkey % 154 + 1 AS technology_id
-FROM lineitem WHERE l_linenumber = 1 AND l_discount <= 0.01 AND l_quantity <= 10"""
+FROM lineitem WHERE l_linenumber IN (6, 7)"""
+
+# the same two tables from every line: nearly every person has nearly every skill
+VIEWS["f_dense_interests"] = """
+SELECT DISTINCT o_custkey AS mentee_id, l_partkey % 154 + 1 AS technology_id
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
+
+VIEWS["f_dense_expertise"] = """
+SELECT DISTINCT l_suppkey AS mentor_id, l_partkey % 154 + 1 AS technology_id FROM lineitem"""
 
 VIEWS["f_mentee_subdomains"] = """
 SELECT DISTINCT mentee_id, technology_id % 23 + 1 AS subdomain_id FROM f_mentee_interests"""
@@ -93,7 +103,7 @@ FROM part"""
 VIEWS["f_requirements"] = """
 SELECT DISTINCT l_partkey AS post_id, (l_partkey + l_linenumber) % 154 + 1 AS technology_id,
        l_linenumber % 4 + 1 AS required_experience_level
-FROM lineitem WHERE l_linenumber <= 3"""
+FROM lineitem"""
 
 VIEWS["f_applications"] = """
 SELECT o_orderkey AS app_id, l_partkey AS post_id, o_custkey AS mentee_id,
@@ -140,7 +150,7 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 4"""
 
 VIEWS["f_mentor_communities"] = """
 SELECT DISTINCT l_suppkey AS user_id, l_partkey % 40 AS community_id
-FROM lineitem WHERE l_linenumber = 4 AND l_discount <= 0.01 AND l_quantity <= 10"""
+FROM lineitem WHERE l_linenumber = 4"""
 
 # a scored mentor list per mentee, for the operators that start from model scores
 VIEWS["f_scored"] = """
