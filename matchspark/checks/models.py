@@ -83,9 +83,22 @@ def latent_factor_scores(t: Tables):
 
 @check("mentor_flow_metrics", "H15 H8 H12 F14 K1")
 def mentor_flow_metrics(t: Tables):
-    return mentor_flow.run(raw_tables(t), top_k=20, high_cap=30, low_cap=10, use_factors=False).metrics
+    return mentor_flow.run(raw_tables(t)).metrics
+
+
+@check("mentor_flow_lists", "H15 J16 J15")
+def mentor_flow_lists(t: Tables):
+    """The lists of every mentee by the freshly trained model."""
+    return mentor_flow.run(raw_tables(t)).lists
 
 
 @check("program_flow_metrics", "H16 F18 K2")
 def program_flow_metrics(t: Tables):
-    return program_flow.run(raw_tables(t), top_k=40, use_factors=False).metrics
+    return program_flow.run(raw_tables(t)).metrics
+
+
+@check("program_flow_lists", "H16")
+def program_flow_lists(t: Tables):
+    """The programs of every mentee by the freshly trained model."""
+    return program_flow.run(raw_tables(t)).recommendations.select(
+        "mentee_id", "post_id", "rank", "rerank_score", "match_percentage")

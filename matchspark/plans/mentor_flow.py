@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from matchspark.operators import factors, labels, metrics, ranker, sampling, scaling
 from matchspark.operators.cleaning import safe_accounts, without_alerted
 from matchspark.operators.quality import feature_manifest, reject_leakage
-from matchspark.plans import candidates, pairs, people, rerank, splits
+from matchspark.plans import candidates, pairs, people, rerank, serving, splits
 from matchspark.session import materialize
 
 VERSION = "1"
@@ -48,6 +48,8 @@ class Result(NamedTuple):
     recommendations: DataFrame
     metrics: DataFrame
     coverage: DataFrame
+    impact: DataFrame | None = None
+    lists: DataFrame | None = None
 
 
 def prepare(raw: dict[str, DataFrame], use_factors: bool = True) -> Prepared:
@@ -83,35 +85,58 @@ def features_of(p: Prepared, pool: DataFrame) -> DataFrame:
         user_factors=user_factors, item_factors=item_factors, communities=p.communities)), "pairs")
 
 
+def by_rerank(df: DataFrame) -> DataFrame:
+    return df.withColumn("pred_score", F.col("rerank_score"))
+
+
+def lists_for_all(p: Prepared, result: Result) -> DataFrame:
+    """(mentee_id, mentor_id, rank, pred_score, source): the model's list of every mentee, else by content, else popular."""
+    model = materialize(by_rerank(result.recommendations).select(*candidates.PAIR, "rank", "pred_score"), "model-lists")
+    technologies = p.tables.get("technologies")
+    if technologies is None:
+        technologies = p.mentees.sparkSession.createDataFrame([], "technology_id long, subdomain_id long")
+    safe = safe_accounts(p.mentors, p.tables["mentor_profile"])
+    return serving.recommend_all(
+        p.mentees.select("mentee_id"), model, p.mentees, safe, p.tables["mentee_interests"], p.tables["mentee_subdomains"],
+        p.tables["mentor_expertise"], p.tables["mentor_subdomains"], technologies, K)
+
+
 def fit_and_rank(p: Prepared, features: DataFrame, neg_per_pos: int = sampling.TRAIN_NEG_PER_POS,
-                 seed: int = 42) -> Result:
-    """Label, sample, scale, train, rerank and evaluate the pair features of one pool."""
+                 seed: int = 42, pool: DataFrame | None = None) -> Result:
+    """Label, sample, scale, train, rerank and evaluate the pair features of one pool.
+
+    ``recommendations`` come from all pairs of every mentee, or from those in ``pool``.
+    """
     usable = candidates.drop_zero_coverage(p.positives, features)
     labelled = labels.remove_contamination(labels.assign_labels(features, usable), usable)
     dataset = materialize(sampling.training_dataset(labelled, seed, neg_per_pos), "dataset")
     names = [c for c in pairs.MODEL_FEATURES if c in dataset.columns]
     parts = splits.split_frames(ranker.ranking_frame(dataset, names))
     scaled = [c for c in names if c not in pairs.BINARY_FEATURES]
-    train, rest, scaler = scaling.fit_and_apply(parts["train"], {"valid": parts["valid"], "test": parts["test"]}, scaled)
+    offered = features if pool is None else features.join(pool.select(*candidates.PAIR), candidates.PAIR, "left_semi")
+    everyone = ranker.ranking_frame(offered.withColumn("label", F.lit(0)), names)
+    train, rest, scaler = scaling.fit_and_apply(
+        parts["train"], {"valid": parts["valid"], "test": parts["test"], "all": everyone}, scaled)
     train = materialize(train, "train")
     valid, test = materialize(rest["valid"], "valid"), materialize(rest["test"], "test")
     _, weights = ranker.train(train, valid, names, k=K, seed=seed)
-    scored = ranker.score(test, weights)
+    scored, checked = ranker.score(test, weights), ranker.score(valid, weights)
     reranked = rerank.multi_signal_rerank(scored)
     boosted = rerank.soft_boosts(reranked)
     served = safe_accounts(boosted, p.tables["mentor_profile"])
     stages = {
-        "train": ranker.score(train, weights), "valid": ranker.score(valid, weights), "test": scored,
-        "test reranked": reranked.withColumn("pred_score", F.col("rerank_score")),
-        "test boosted": boosted.withColumn("pred_score", F.col("rerank_score")),
-        "test served": served.withColumn("pred_score", F.col("rerank_score"))}
+        "train": ranker.score(train, weights), "valid": checked,
+        "valid reranked": by_rerank(rerank.multi_signal_rerank(checked)), "test": scored,
+        "test reranked": by_rerank(reranked),
+        "test boosted": by_rerank(boosted),
+        "test served": by_rerank(served)}
     report = None
     for name, df in stages.items():
         one = metrics.evaluate_ranking(df, K, MIN_CANDIDATES).withColumn("stage", F.lit(name))
         report = one if report is None else report.unionByName(one)
-    best = safe_accounts(rerank.top_recommendations(scored, K), p.tables["mentor_profile"])
+    best = rerank.top_recommendations(safe_accounts(ranker.score(rest["all"], weights), p.tables["mentor_profile"]), K)
     return Result(dataset, weights, scaler, feature_manifest(names, scaled, VERSION), best, report,
-                  candidates.coverage_by_split(p.positives, features))
+                  candidates.coverage_by_split(p.positives, features), metrics.rerank_impact(scored, by_rerank(reranked), K))
 
 
 def run(raw: dict[str, DataFrame], top_k: int = 50, high_cap: int = 80, low_cap: int = 40,
@@ -120,7 +145,8 @@ def run(raw: dict[str, DataFrame], top_k: int = 50, high_cap: int = 80, low_cap:
     p = prepare(raw, use_factors)
     pool = materialize(candidates.candidate_pool(
         p.mentees, p.mentors, p.subdomains, top_k, high_cap, low_cap, exploration_pct, seed=seed), "pool")
-    return fit_and_rank(p, features_of(p, candidates.inject_positives(pool, p.positives)), seed=seed)
+    result = fit_and_rank(p, features_of(p, candidates.inject_positives(pool, p.positives)), seed=seed, pool=pool)
+    return result._replace(lists=lists_for_all(p, result))
 
 
 def tune(raw: dict[str, DataFrame], configs: list[dict] | None = None, top_k: int = 30, min_coverage: float = 60.0,

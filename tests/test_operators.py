@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from matchspark.functions import compat, ids, numbers, sets
-from matchspark.operators import asof, cleaning, factors, labels, metrics, normalize, quality, ranker, sampling, topk
+from matchspark.operators import (
+    asof, cleaning, factors, labels, metrics, normalize, overlap, quality, ranker, sampling, topk)
 from matchspark.operators.quantiles import quantiles_wide
 from matchspark.plans import candidates, rerank, skill_match, splits
 
@@ -26,6 +27,47 @@ def test_asof_counts_ties_and_skips_missing_times(spark):
                    (1, "2020-01-04 00:00:00"): (10, 3), (3, "2020-01-04 00:00:00"): (None, None)}
 
 
+def test_reaching_pairs_keep_every_pair_at_the_floor(spark):
+    rnd = random.Random(11)
+    hot = [1, 2]  # a token nearly everyone has, met through split lookups
+    left = {i: sorted({t for t in hot if rnd.random() < 0.9} | set(rnd.sample(range(3, 30), rnd.randint(1, 9)))) for i in range(40)}
+    right = {i: sorted({t for t in hot if rnd.random() < 0.9} | set(rnd.sample(range(3, 30), rnd.randint(1, 9)))) for i in range(60)}
+    floor = {i: rnd.choice([0.2, 0.3, 0.5]) for i in left if i % 5}
+
+    def tokens(sets_of, key):
+        return spark.createDataFrame([(i, t) for i, ts in sets_of.items() for t in ts], f"{key} long, token long")
+
+    def people(sets_of, key, size):
+        return spark.createDataFrame([(i, len(ts)) for i, ts in sets_of.items()], f"{key} long, {size} int")
+
+    out = overlap.reaching_pairs(
+        people(left, "l", "a"), tokens(left, "l"), people(right, "r", "b"), tokens(right, "r"), left_id="l", right_id="r",
+        classes=["b"], tops=[F.count("*").alias("n")], floor=spark.createDataFrame(list(floor.items()), "l long, _floor double"),
+        reach=lambda o: F.least(o, "b") / (F.col("a") + F.col("b") - F.least(o, "b")).cast("double"), part_rows=7)
+    got = [(r.l, r.r) for r in out.collect()]
+    assert len(got) == len(set(got))
+    for i, a in left.items():
+        for j, b in right.items():
+            common = len(set(a) & set(b))
+            if common >= 2 and common / len(set(a) | set(b)) >= floor.get(i, 0.0):
+                assert (i, j) in set(got)
+    assert len(got) < len(left) * len(right)
+
+
+def test_best_matches_equal_brute_force_on_dense_and_equal_sets(spark):
+    rnd = random.Random(3)
+    people = {i: sorted(rnd.sample(range(12), 9)) if i % 3 else [1, 2, 3] for i in range(30)}
+    mentors = {i: sorted(rnd.sample(range(12), 10)) if i % 4 else [1, 2, 3, 4] for i in range(25)}
+    frame = lambda d, key: spark.createDataFrame(
+        [(i, t) for i, ts in d.items() for t in ts + ts[:1]] + [(None, 1), (99, None)], f"{key} long, t long")
+    got = {(r.l, r["rank"]): r.r for r in skill_match.top_skill_matches(frame(people, "l"), frame(mentors, "r"), "l", "r", "t", 4).collect()}
+    want = {}
+    for i, a in people.items():
+        scored = sorted((-len(set(a) & set(b)) / len(set(a) | set(b)), -len(set(a) & set(b)), j) for j, b in mentors.items() if set(a) & set(b))
+        want |= {(i, n + 1): x[2] for n, x in enumerate(scored[:4])}
+    assert got == want
+
+
 def test_asof_hot_key_equals_brute_force(spark):
     rnd = random.Random(5)
     ev = [(1 if rnd.random() < 0.7 else rnd.randint(2, 4), rnd.randint(0, 40000), rnd.randint(1, 4)) for _ in range(400)]
