@@ -232,8 +232,11 @@ def drift_report(train: DataFrame, evaluation: DataFrame, columns: Sequence[str]
         F.coalesce(shift > MEDIAN_DRIFT, F.lit(False)).alias("median_drift"))
 
 
-def distribution_warnings(pairs: DataFrame) -> DataFrame:
-    """Warnings about negative counts, ratios out of range, constant features and a popularity spike."""
+def distribution_warnings(pairs: DataFrame, min_rows: int = 0, min_spike_rows: int = 0) -> DataFrame:
+    """Warnings about negative counts, ratios out of range, constant features and a popularity spike.
+
+    The last two are only given for more rows than ``min_rows`` and ``min_spike_rows``.
+    """
     numeric = [f.name for f in pairs.schema.fields if isinstance(f.dataType, NumericType)
                and f.name not in ID_COLUMNS | {"label"}]
     parts = []
@@ -246,10 +249,10 @@ def distribution_warnings(pairs: DataFrame) -> DataFrame:
             n = F.sum(flag((x < -0.01) | (x > 1.01)))
             parts.append(F.when(n > 0, F.concat(F.lit(f"{c}: "), n.cast("string"), F.lit(" values out of range"))))
         same = F.coalesce(F.min(x).eqNullSafe(F.max(x)), F.lit(True))
-        parts.append(F.when(same & (F.count("*") > 10), F.lit(f"{c}: zero variance")))
+        parts.append(F.when(same & (F.count("*") > min_rows), F.lit(f"{c}: zero variance")))
     if "program_popularity_log" in pairs.columns:
         top = quantiles_long(pairs, ["program_popularity_log"], [0.99]).select("value").scalar()
-        spike = (F.max("program_popularity_log") > F.max("_p99") * SPIKE_TIMES) & (F.count("*") > 50)
+        spike = (F.max("program_popularity_log") > F.max("_p99") * SPIKE_TIMES) & (F.count("*") > min_spike_rows)
         parts.append(F.when(spike, F.lit("program_popularity_log: unstable spike")))
         pairs = pairs.select("*", top.alias("_p99"))
     return pairs.agg(F.array_compact(F.array(*parts)).alias("w")).select(F.explode("w").alias("warning"))
