@@ -35,8 +35,8 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text: bit set if set in over half the shingles' XXH64, repeats included.
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included.
 
     Only A-Z are lower-cased; words end at the ASCII white space; fewer words than a shingle form one.
     """
@@ -44,17 +44,22 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
 
     words = text.encode().lower().split()  # bytes: exactly the ASCII rules
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return xxh(whole, seed)
+        return np.array([xxh(whole, seed)], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts = ends - lens
-    hashes = np.fromiter([xxh(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1:].tolist())],
-                         np.uint64, n)
-    bits = (2 * bit_counts(hashes) > n).astype(np.uint8)
+    return np.fromiter([xxh(whole[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[shingle - 1:].tolist())],
+                       np.uint64, n)
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit SimHash of a text: bit set if set in over half the shingles' XXH64, repeats included."""
+    hashes = shingle_hashes(text, shingle, seed)
+    bits = (2 * bit_counts(hashes) > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
@@ -98,14 +103,18 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     return fps.join(classes, "fp").select(id_col, "fp", lower_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                         shingle: int = 3) -> DataFrame:
-    """One document of each group stays: the one with the smallest id, all its columns unchanged.
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One document of each class stays: the one with the smallest id, all its columns unchanged.
 
     Rows without id are compared too; a group of such rows only keeps one per distinct text. Repeated
     rows fold into one.
     """
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     kept = classes.select(F.col("component_id").alias("__kept")).distinct()
     return (docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
             .dropDuplicates([id_col, text_col]))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                         shingle: int = 3) -> DataFrame:
+    """One document of each group stays, as of ``keep_first``."""
+    return keep_first(docs, near_duplicate_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle), id_col, text_col)
