@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchspark.llm.common import materialize
 from matchspark.llm.components import components
@@ -20,9 +20,11 @@ LEADERS = 3
 
 
 def shared(members: DataFrame) -> DataFrame:
-    """The (bucket, node) of buckets with two or more nodes."""
-    ends = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    return materialize(members.join(ends.where("low < high").select("bucket"), "bucket").select("bucket", "node"), "shared")
+    """The (bucket, node) of buckets with two or more nodes, in one shuffle. ``members`` may repeat."""
+    w = Window.partitionBy("bucket").orderBy("node")
+    met = members.select("bucket", "node", F.lag("node").over(w).alias("before"), F.lead("node").over(w).alias("after"))
+    kept = met.where((F.coalesce("before", "node") != F.col("node")) | (F.coalesce("after", "node") != F.col("node")))
+    return materialize(kept.select("bucket", "node"), "shared")
 
 
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],

@@ -7,18 +7,20 @@ Ties in the order of ids go by a hash of the text; rows without id come last. Em
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from matchspark.llm import editwalk
+from matchspark.llm import buckets, editwalk
 from matchspark.llm.common import materialize, slices, texts_of
 
 #: Bytes of text walked at once: long texts cost many steps, which many texts share.
 WALK_BYTES = 12 << 20
 BANDS, ROWS = 16, 4
+_PICKS = np.random.default_rng(3).random((BANDS, ROWS))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,47 +113,90 @@ def with_successor(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                             ).withColumnRenamed("id", id_col)
 
 
+def _floor(scale: int) -> int:
+    """Samples of a scale that every text of that scale, longer than half its characters, fills at least."""
+    return int((editwalk.steps_of(scale) <= 1 << scale - 1).sum())
+
+
+def band_keys(raw: bytes, threshold: float) -> list[bytes]:
+    """Keys of a fingerprint; alike ones share most keys of the scale of the longer text.
+
+    At a scale a fingerprint fills its first samples, and the fills of two differ by the threshold at most
+    if they are alike. Fills fall into classes of that ratio; each fingerprint emits the keys of its class
+    and of the one below, sampled from the bytes that all of a class have filled.
+    """
+    keys = []
+    for s in range(editwalk.SCALES):
+        at, scale = 1 + s * editwalk.SAMPLES, raw[0] + s
+        fill = editwalk.SAMPLES - raw.count(0, at, at + editwalk.SAMPLES)
+        if not fill or s and fill + 1e-9 < threshold * _floor(scale):
+            continue  # too short to be near a text of that scale
+        own = int(math.log(fill) / -math.log(threshold) + 1e-9)
+        for c in range(max(own - 1, 0), own + 1):
+            width = min(fill, math.ceil(threshold ** -c - 1e-9))
+            for b, rows in enumerate((_PICKS * width).astype(int).tolist()):
+                keys.append(bytes([scale, c, b, *[raw[at + r] for r in rows]]))
+    return keys
+
+
 def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(fingerprint, leader): fingerprints in one class with a leader at least ``threshold`` alike.
+    """(fingerprint, leader, n_links): fingerprints connected by pairs at least ``threshold`` alike.
 
-    Distinct fingerprints are banded by sampled bytes of each scale they hold; in every band the
-    smallest leads, those that verify against it join it, the others try again without it until each
-    has joined or led. Copies have the same fingerprint and are folded before.
+    Distinct fingerprints are banded by ``band_keys``, near pairs of every band verified and linked
+    (``buckets``), links joined to components; a class's smallest fingerprint is its leader. ``n_links``
+    counts the verified links of a fingerprint that were needed to join its class.
     """
-    distinct = prints.select("fingerprint").distinct()
-    picks = np.random.default_rng(3).integers(0, editwalk.SAMPLES, (BANDS, ROWS)).tolist()
+    distinct = materialize(prints.select(F.unhex("fingerprint").alias("print")).distinct().select(
+        F.xxhash64("print").alias("node"), "print"), "prints")
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as xxh
         for batch in batches:
-            texts, keys = [], []
-            for text in batch.column(0).to_pylist():
-                raw = bytes.fromhex(text)
-                for s in range(editwalk.SCALES):
-                    at = 1 + s * editwalk.SAMPLES
-                    for b, rows in enumerate(picks):
-                        picked = bytes(raw[at + r] for r in rows)
-                        if any(picked) or not any(raw[1:]):
-                            texts.append(text)
-                            keys.append(f"{raw[0] + s}:{b}:{picked.hex()}")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(keys, pa.string())],
-                                             ["fingerprint", "band"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes, keys = [], []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = band_keys(raw, threshold)
+                nodes += [node] * len(found)
+                keys += [xxh(k, 42) for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))],
+                                             ["node", "bucket"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [editwalk.likeness(bytes.fromhex(a), bytes.fromhex(b)) >= threshold
-                    for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.bool_())],
-                                             ["fingerprint", "band", "leader", "near"])
-
-    rest = materialize(distinct.mapInArrow(band, "fingerprint string, band string"), "bands")
-    links = None
-    while not rest.isEmpty():
-        lead = rest.groupBy("band").agg(F.min("fingerprint").alias("leader"))
-        tried = materialize(rest.join(lead, "band").select("fingerprint", "band", "leader").mapInArrow(
-            verify, "fingerprint string, band string, leader string, near boolean"), "tried")
-        new = tried.where("near").select("fingerprint", "leader")
-        links = new if links is None else links.unionByName(new)
-        rest = materialize(tried.where("not near").select("fingerprint", "band"), "bands")
-    if links is None:
-        return distinct.select("fingerprint", F.col("fingerprint").alias("leader"))
-    return links.groupBy("fingerprint").agg(F.min("leader").alias("leader"))
+            near = [editwalk.likeness(a, b) >= threshold
+                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(distinct.select(F.col("node").alias("a"), F.col("print").alias("x")), "a")
+                .join(distinct.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
+                .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+
+    members = buckets.shared(distinct.mapInArrow(band, "node long, bucket long"))
+    facts = distinct.join(members.select("node").distinct(), "node", "left_semi").select(
+        "node", F.struct(F.conv(F.hex(F.substring("print", 1, 1)), 16, 10).cast("int").alias("scale")).alias("fact"))
+    links, roots = buckets.near_links(members, facts, verify, lambda a, b: F.abs(a["scale"] - b["scale"]) < editwalk.SCALES)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = materialize(roots.join(ends, "node").join(distinct, "node"), "linked")
+    lead = linked.groupBy("root").agg(F.min("print").alias("lead"))
+    return distinct.join(linked.join(lead, "root").select("node", "lead", "n_links"), "node", "left").select(
+        F.lower(F.hex("print")).alias("fingerprint"), F.lower(F.hex(F.coalesce("lead", "print"))).alias("leader"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def with_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``with_successor``, and of every row its class (the smallest id of it) and its links."""
+    prints = materialize(fingerprints(docs, id_col=id_col, text_col=text_col).select(
+        F.col(id_col).alias("id"), F.unhex("fingerprint").alias("print")), "prints")
+    hexed = prints.select("id", F.lower(F.hex("print")).alias("fingerprint"))
+    ids = hexed.groupBy("fingerprint").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    of = materialize(near_classes(hexed).where("n_links > 0 OR leader <> fingerprint").select(
+        "fingerprint", "n_links", F.xxhash64("leader").alias("class")), "classes")
+    of = ids.join(of, "fingerprint", "left").where("n > 1 OR n_links > 0").select(
+        F.xxhash64("fingerprint").alias("__node"), "first_id", "n_links", F.coalesce("class", F.xxhash64("fingerprint")).alias("class"))
+    of = materialize(of, "known")
+    least = of.groupBy("class").agg(F.min("first_id").alias("class_id"))
+    of = materialize(of.join(least, "class").select("__node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "known")
+    out = with_successor(docs, id_col=id_col, text_col=text_col)
+    names = out.columns
+    return out.withColumn("__node", F.xxhash64("fingerprint")).join(of, "__node", "left").select(
+        *names, F.coalesce("class_id", id_col).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -50,8 +50,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_edit_fingerprints")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint of every whole text and of its edited text, and how alike they are."""
-    return fingerprint.with_successor(table(spark, sf_dir, "documents"))
+    """Fingerprint of every whole text and of its edited text, how alike they are, and the class of near texts."""
+    return fingerprint.with_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op5_simhash_classes")

@@ -4,7 +4,8 @@ import random
 import re
 
 import corpus_pipeline
-from matchspark.llm import nearcopies
+from matchspark.llm import editwalk, fingerprint, nearcopies
+from matchspark.llm.queries import op4
 
 rng = random.Random(8)
 
@@ -56,3 +57,29 @@ def test_near_duplicates_stage_equals_brute_force(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert nearcopies.classes(docs.limit(0)).count() == 0
+
+
+def test_fingerprint_classes_of_chains_equal_brute_force(spark, tmp_path):
+    letters = "abcdefghijklmnop qrstuvwxyz"
+    texts = []
+    for n in (300, 700, 1500, 3000):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        for _ in range(10):  # each near the one before, the last far from the first
+            texts.append(text)
+            at = rng.randrange(n // 2, n)
+            text = text[:at] + "".join(rng.choice(letters) for _ in range(n // 40)) + text[at + n // 50:]
+    texts += [texts[0], "", "a", "ab", None]
+    prints = [p.hex() for p in editwalk.embed([editwalk.classes(t or "") for t in texts])]
+    want = joined(dict(enumerate(prints)), lambda x, y: editwalk.likeness(bytes.fromhex(x), bytes.fromhex(y)) >= 0.8)
+    near = {frozenset((a, b)) for a in prints for b in prints
+            if a != b and editwalk.likeness(bytes.fromhex(a), bytes.fromhex(b)) >= 0.8}
+    assert any(want[i] == want[j] and i < j and editwalk.likeness(*map(bytes.fromhex, (prints[i], prints[j]))) < 0.8
+               for i in want for j in want)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in op4(spark, str(tmp_path)).collect()}
+    assert {i: r["class_id"] for i, r in out.items()} == want
+    for i, r in out.items():
+        degree = sum(prints[i] in pair for pair in near)
+        assert (degree > 0) == (r["n_links"] > 0) and r["n_links"] <= degree
+    assert fingerprint.with_classes(frame.limit(0)).count() == 0
