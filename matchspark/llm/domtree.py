@@ -8,11 +8,15 @@ from html import unescape
 
 # fixed values: groups of HTML element names
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s "
-             "samp small span strike strong sub sup time tt u var wbr".split())
+             "samp small span strike strong sub sup time tt u var wbr object canvas audio video noscript template svg select "
+             "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mspace mpadded "
+             "mphantom mfenced menclose mtable mtr mtd semantics annotation".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe noembed noframes textarea title svg math xmp object canvas audio video select"
+RAW = "script style iframe noembed noframes textarea title"
+#: What stands in these is no text; a block element ends an open one of the first two, which may lack their end tag.
+SILENT = {"svg", "select", "template"}
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
-             "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+             "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul xmp".split())
 #: An opening tag ends an open element of these, unless an element of the second list stands between.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
@@ -22,7 +26,7 @@ P_SCOPE = {"td", "th", "table", "button", "caption", "body", "html", "li"}
 HEAD_ONLY = {"meta", "link", "base"}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+[^>]*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW.split()) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.S | re.I)
@@ -59,7 +63,8 @@ def parse(html: str) -> Page:
     stack = [("#root", page.add(-1, "#root", "", 0))]  # open elements; inline ones share their block's node
     pieces: list[str] = []
     linked = 0
-    in_link = in_head = 0
+    in_link = in_head = in_silent = 0
+    last_template = html.lower().rfind("</template") if "<template" in html.lower() else -1
 
     def flush() -> None:
         nonlocal linked
@@ -75,12 +80,13 @@ def parse(html: str) -> Page:
 
     def close(k: int) -> None:
         """Close the open elements from the k-th on."""
-        nonlocal in_link, in_head
+        nonlocal in_link, in_head, in_silent
         if any(name not in INLINE for name, _ in stack[k:]):
             flush()
         for name, _ in stack[k:]:
             in_link -= name == "a"
             in_head -= name == "head"
+            in_silent -= name in SILENT
         del stack[k:]
 
     def end_open(names: set[str], scope: set[str]) -> None:
@@ -93,7 +99,7 @@ def parse(html: str) -> Page:
 
     def words(raw: str) -> None:
         nonlocal linked
-        if in_head or not raw:
+        if in_head or in_silent or not raw:
             return
         text = unescape(raw) if "&" in raw else raw
         pieces.append(text)
@@ -108,9 +114,13 @@ def parse(html: str) -> Page:
         tag = m.group("tag")
         if tag is None:
             if m.group("raw"):
-                words(" ") if m.group("raw").lower() in ("select", "textarea") else None
+                words(" ") if m.group("raw").lower() == "textarea" else None
             continue
         tag = tag.lower()
+        if in_silent and tag in ENDS_P and not m.group("end"):
+            end_open({"svg", "select"}, {"template"})
+        if in_silent and tag in INLINE - SILENT:
+            continue
         if m.group("end"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
@@ -123,6 +133,8 @@ def parse(html: str) -> Page:
         if tag == "br":
             words(" ")
             continue
+        if in_silent and tag not in SILENT:
+            continue
         if tag in HEAD_ONLY:
             continue
         if tag in ENDS_P:
@@ -137,9 +149,14 @@ def parse(html: str) -> Page:
                 if tag == "img":
                     words(" ")
                 continue
+            if tag == "select":
+                words(" ")
+            if tag == "template" and m.start() > last_template:
+                continue  # without an end tag it hides nothing
             if not attrs.endswith("/>"):
                 stack.append((tag, stack[-1][1]))
                 in_link += tag == "a"
+                in_silent += tag in SILENT
             continue
         flush()
         found = " ".join(x or y or z for x, y, z in _ATTRS.findall(attrs)) if "=" in attrs else ""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchspark.llm import (bpe, bytegru, columnbwt, components, editwalk, fingerprint, langid, maintext, mixing, multiindex, pii,
+from matchspark.llm import (bpe, bytegru, columnbwt, components, domtree, editwalk, fingerprint, langid, maintext, mixing, multiindex, pii,
                             repeats, secrets, simhash, spans)
 
 rng = random.Random(4)
@@ -303,3 +303,31 @@ def test_places_of_many_matches(spark):
     df = spans.with_matches(spark.createDataFrame([(text,), ("",), ("none",)], "t string"), "m", "t", "[0-9]+")
     got = [[(s["start"], s["end"]) for s in r["m"]] for r in df.collect()]
     assert got == [[(3 * i + 1, 3 * i + 2) for i in range(1500)], [], []]
+
+
+ARTICLE = ("<p>First paragraph of the story with many words in it, long enough to be read.</p>{}"
+           "<p>Second paragraph of the story, also with many words and quite long.</p>")
+
+
+@pytest.mark.parametrize("extra", [
+    '<svg viewBox="0 0 1 1"/>', "<svg><path d='M0'/>", "<svg/><p>Between them a long sentence of the same story stands.</p><svg><g></g></svg>", "<math/>",
+    "<object data='x'>", "<video src='x'>", "<audio src='x'>", "<canvas>", "<select><option>one", "<template>", "<noscript>",
+    "<video-player></video-player>", "<title-bar></title-bar>", "<style-x>", "<script-y/>"])
+def test_no_element_swallows_the_article(extra):
+    page = domtree.parse(f"<html><body><div class='content'>{ARTICLE.format(extra)}</div><p>Last words.</p></body></html>")
+    texts = [t for t in page.text if t]
+    assert texts[0].startswith("First paragraph") and texts[-2].endswith("quite long.") and texts[-1] == "Last words."
+    assert ("Between" in extra) == any(t.startswith("Between them") for t in texts)
+
+
+def test_text_of_fallbacks_and_what_is_dropped():
+    read = lambda html: [t for t in domtree.parse(f"<body><div>{html}</div></body>").text if t]
+    assert read("<p>a <math><mi>x</mi><mo>=</mo></math> b</p>") == ["a x= b"]
+    assert read("<xmp>kept</xmp>") == ["kept"] and read("a <object>fallback</object> b") == ["a fallback b"]
+    for tag in ("canvas", "audio", "video", "noscript"):
+        assert read(f"<{tag}>inside</{tag}> out") == ["inside out"]
+    for tag in ("script", "style", "iframe", "noembed", "noframes", "textarea", "title"):
+        assert read(f"a <{tag}>x <p>y</{tag}x> z</{tag.upper()} > b") == ["a b"]
+    assert read("a<select><option selected>one<option>two</select>b <svg><text>c</text></svg>d") == ["a b d"]
+    assert read("a <template><p>hidden</p></template>b") == ["a b"]
+    assert read("<a href='x'>in <svg><a>icon</a></svg>link</a> out") == ["in link out"]
