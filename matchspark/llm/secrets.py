@@ -23,11 +23,20 @@ from matchspark.llm.treecolumns import Node, read_trees, weighted_sum
 _RUN = r"A-Za-z0-9+/=_.~\-"
 _KEYWORD = (r"pass(?:wd|word|phrase)|pwd|secret|token|api[_\-. ]?key|access[_\-. ]?key|auth[_\-. ]?key|private[_\-. ]?key|"
             r"credentials?|bearer")
+# A key block: its header fields, then base64 up to the END line; without that, whole lines of base64 and a
+# shorter last one. Between them white space, escaped line breaks and the signs of quoted lines.
+_BEGIN, _END = (rf"-----{x} [A-Z0-9 ]{{0,40}}PRIVATE KEY(?: BLOCK)?-----" for x in ("BEGIN", "END"))
+_GAP = r"(?:\\[nrt]|[\s\"'>#*|,;\\])"
+_FIELDS = rf"(?:{_GAP}*+[A-Za-z][A-Za-z0-9\-]{{0,40}}+:(?:(?!-----|\\[nr])[^\n\r])*+)*+"
+_LINE = rf"(?:{_GAP}++(?:(?!\\)[A-Za-z0-9+/=]){{16,}}+)"
+_LAST = rf"(?:[^\S\n]*+[\"']?+[^\S\n]*+(?:\n|\\n){_GAP}*+[A-Za-z0-9+/]++=*+(?=[^\S\n]*+[\"']?+[^\S\n]*+(?:\n|\\[nr]|\Z))|[^\S\n]++(?=[A-Za-z+/]*+[0-9=])[A-Za-z0-9+/]++=*+(?=\s|\Z))"
+_CHECK = rf"(?:{_GAP}++=[A-Za-z0-9+/]{{4}}+(?![A-Za-z0-9+/]))"
+_BODY = rf"(?:{_FIELDS}(?:{_GAP}++|[A-Za-z0-9+/=]++)*+{_END}|{_FIELDS}(?:{_LINE}++{_LAST}?+{_CHECK}?+)?+)"
 # candidates: long runs with a digit, values of a telling name, key blocks
 GENERATORS = {
     "run": rf"(?<![{_RUN}])(?=[A-Za-z+/=_.~\-]*+[0-9])[{_RUN}]{{16,}}+",
     "named": rf"(?i)(?<![a-z0-9])(?:{_KEYWORD})[\"']?[^\S\n]{{0,4}}(?:=|:=|:|=>)[^\S\n]{{0,4}}[\"']?[^\s\"'<>,;]{{6,}}+",
-    "block": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "block": _BEGIN + _BODY,
 }
 # fixed values: words whose presence says that a run is made of words
 DICTIONARY = ("about access address after again also application array back base before begin build call change check class "
@@ -91,7 +100,9 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     prose = text(word(20), " ", word(30), " ", word(40), ". ", word(50), " ")
     # (label, value, what stands right before, right after)
-    kinds: list[tuple[int, Column, str, str]] = [
+    line, second = F.substring(mixed, 1, 64), F.substring(F.reverse(mixed), 1, 64)
+    block = lambda kind, *parts: text(f"-----BEGIN {kind}PRIVATE KEY-----\n", *parts)
+    kinds: list[tuple[int, Column, str | Column, str | Column]] = [
         (1, bits(1, 40), 'token = "', '"'), (1, bits(1, 32), "api_key: ", " "), (1, upper(bits(1, 40)), 'TOKEN = "', '"!!'),
         (1, bits(1, 40), 'token*** =%%% "', '"###'), (1, bits(1, 40), 'token | = | "', '" |'), (1, bits(1, 64), "secret=", "\n"),
         (1, text("AKIA", upper(F.substring(mixed, 1, 16))), "aws ", " "), (1, text("ghp_", F.substring(mixed, 1, 36)), "", "\n"),
@@ -101,6 +112,10 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         (1, text("eyJ", F.substring(mixed, 1, 30), ".eyJ", F.substring(mixed, 31, 30), ".", F.substring(mixed, 5, 40)), "", "\n"),
         (1, text("AIza", F.substring(mixed, 1, 35)), "key=", "&"), (1, F.lit("-----BEGIN RSA PRIVATE KEY-----"), "\n", "\n"),
         (1, F.substring(mixed, 3, 20), "access_key=", " "),
+        (1, block("RSA ", line, "\n", second, "\n", F.substring(mixed, 9, 21), "==\n-----END RSA PRIVATE KEY-----"), "\n", "\n"),
+        (1, block("", line, "\n", second, "\n", line, "\n", second, "\n-----END PRIVATE KEY-----"), 'key = "', '"'),
+        (1, block("EC ", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,", bits(1, 32), "\n\n", second, "\n", line), " ", "\n"),
+        (1, line, text(F.substring(second, 18, 47), "\n"), text("\n", second)), (1, second, "\n", text("\n", line)),
         (0, bits(1, 40), "commit ", "\n"), (0, bits(1, 64), "sha256: ", "\n"), (0, bits(1, 32), "md5 = ", " "), (0, bits(1, 40), "", " "),
         (0, text(bits(1, 8), "-", bits(9, 4), "-", bits(13, 4), "-", bits(17, 4), "-", bits(21, 12)), 'id = "', '"'),
         (0, text("/usr/", word(1), "/", word(5), "/", word(9), bits(3, 1), ".", "py"), "in ", " "),
@@ -113,7 +128,7 @@ def labelled_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         (0, text(made, ".", word(1), "12@mail.", "com"), "", " "), (0, text("www.", made, ".com/", word(1), "/2"), "https://", " "),
         (0, text(bits(1, 40)), "checksum ", " "), (0, text("v1.2.", bits(1, 2), "-", word(1), "-", word(5), ".", "json"), "version ", " "),
     ]
-    each = F.array(*[F.struct(value.alias("value"), text(prose, before).alias("left"), F.lit(after).alias("right"),
+    each = F.array(*[F.struct(value.alias("value"), text(prose, before).alias("left"), text(after).alias("right"),
                               F.lit(float(label)).alias("label")) for label, value, before, after in kinds])
     return materialize(rows.select(F.element_at(each, (F.col("id") % len(kinds) + 1).cast("int")).alias("x")).select("x.*"),
                        "labelled")
@@ -167,7 +182,11 @@ def scan(docs: DataFrame, *, text_col: str = "text", threshold: float = THRESHOL
         c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"),
         (weighted_sum(trees, lambda i: c["f"][i]) / n).alias("score")))
     df = df.select("__row", "__text", scored.alias("c"))
-    return df.select("__row", "__text", without_overlap(F.filter("c", lambda c: c["score"] >= threshold)).alias("findings"))
+    df = df.select("__row", "__text", F.filter("c", lambda c: c["score"] >= threshold).alias("c"))
+    blocks = F.filter("c", lambda c: c["kind"] == "block")  # whole, whatever begins before them and runs into them
+    kept = F.filter("c", lambda c: (c["kind"] == "block") | ~F.exists(
+        blocks, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    return df.select("__row", "__text", without_overlap(kept).alias("findings"))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", size_col: str | None = "n_chars", mark: str = "[SECRET]", **options) -> DataFrame:
