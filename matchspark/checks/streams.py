@@ -51,6 +51,16 @@ def streamed_daily_counts(t: Tables):
     return feeds.running_counts(t.spark, out, "user_id").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+@check("streamed_all_days", "P2", """
+WITH d AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY day) AS BIGINT) AS total FROM d""")
+def streamed_all_days(t: Tables):
+    events = event_stream(t).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out, progress = paths(t, "days")
+    feeds.stream_all_days(events, "user_id", "ts", out, progress).awaitTermination()
+    return feeds.running_counts(t.spark, out, "user_id").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @check("streamed_recent_sessions", "P3 G13", """
 WITH s AS (SELECT DISTINCT user_id AS mentee_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS session, event_id % 100 AS mentor_id FROM events),
 r AS (SELECT mentee_id, session, row_number() OVER (PARTITION BY mentee_id ORDER BY session DESC) AS age FROM (SELECT DISTINCT mentee_id, session FROM s))

@@ -62,6 +62,12 @@ def stream_daily_counts(events: DataFrame, key: str, time: str, path: str, check
     return _write_batches(daily_counts(events, key, time, watermark), lambda b: b, path, checkpoint, **trigger)
 
 
+def stream_all_days(events: DataFrame, key: str, time: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Daily counts of every day, open ones and late events too: each batch adds its share, ``running_counts`` sums them."""
+    day = F.date_trunc("day", F.col(time)).alias("day")
+    return _write_batches(events, lambda b: b.groupBy(day, key).agg(F.count("*").alias("n")), path, checkpoint, **trigger)
+
+
 def running_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Count up to and including each day per key (one row per key and day, so groups stay short)."""
     days = spark.read.parquet(path).groupBy(key, "day").agg(F.sum("n").alias("n"))

@@ -104,3 +104,13 @@ def test_daily_counts_and_shown_log(spark, tmp_path):
     shown = spark.readStream.schema("mentee_id long, session long, mentor_id long").parquet(log)
     feeds.stream_shown(shown, str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination(120)
     assert {r.session for r in feeds.recently_shown(spark, str(tmp_path / "s")).collect()} == {2, 3, 4}
+
+
+def test_all_days_come_out(spark, tmp_path):
+    source = str(tmp_path / "follows")
+    spark.createDataFrame([(1, "2020-01-01 10:00:00"), (1, "2020-01-02 09:00:00"), (2, "2020-01-10 00:00:00")], "mentor_id long, t string").select(
+        "mentor_id", F.col("t").cast("timestamp").alias("created_at")).write.parquet(source)
+    stream = spark.readStream.schema("mentor_id long, created_at timestamp").parquet(source)
+    feeds.stream_all_days(stream, "mentor_id", "created_at", str(tmp_path / "d"), str(tmp_path / "dc")).awaitTermination(120)
+    got = [(r.mentor_id, str(r.day)[:10], r.n, r.total) for r in feeds.running_counts(spark, str(tmp_path / "d"), "mentor_id").orderBy("day").collect()]
+    assert got == [(1, "2020-01-01", 1, 1), (1, "2020-01-02", 1, 2), (2, "2020-01-10", 1, 1)]
