@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchspark.llm import bpe, fingerprint, langid, maintext, mixing, multiindex, pii, repeats, secrets, simhash
+from matchspark.llm import (bpe, fingerprint, langid, maintext, mixing, multiindex, pii, repeats, secrets, simhash, tokencounts,
+                            whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +134,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     return found.select(F.col("__row.doc_id").alias("doc_id"), *counts,
                         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, counted through a digest cache that starts empty."""
+    counted = tokencounts.count_tokens(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened coordinates of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
