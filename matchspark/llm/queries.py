@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from matchspark.llm import (bpe, fingerprint, langid, maintext, mixing, multiindex, pii, repeats, secrets, simhash, tokencounts,
-                            whitening)
+from matchspark.llm import (bpe, crosstokens, fingerprint, langid, maintext, mixing, multiindex, pii, repeats, secrets, simhash,
+                            tokencounts, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers over every whole text group and link."""
+    return crosstokens.align(table(spark, sf_dir, "documents"))
+
+
 @query("op12_token_counts")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, counted through a digest cache that starts empty."""
