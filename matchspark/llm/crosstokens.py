@@ -11,6 +11,10 @@ are added up by Spark, their sums joined back to the distinct pairs of each chun
 chunk's documents are summed over its windows. So no table is broadcast, no row holds more than one chunk, and a
 frequent pair gives one row per chunk.
 
+A chunk's distinct words are encoded once: texts are cut before spaces that stand between other characters than white
+space, if a tokenizer's file shows that it splits there anyway (byte-level words without normaliser; no piece with a
+space after another character); the ids of a text are those of its words in a row. Else whole texts are encoded.
+
 Null and empty texts, and texts that a tokenizer does not give back, have zeros and no groups. Repeated rows and
 rows without id are kept one for one; other columns are not read; a very long text is a chunk of its own. An empty
 table gives no rows. ``count_sum`` is a long: it holds links times their corpus counts.
@@ -35,7 +39,11 @@ from pyspark.sql import DataFrame, functions as F
 from matchspark.llm.common import materialize, slices, texts_of
 
 #: Bytes of text in a chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+#: Words handed to a library at once.
+WORDS = 1 << 14
+WORDS_IN_A_ROW = 64
+_CUT = re.compile(r"(?<=\S)(?= +\S)")
 _SPACE = "▁"
 
 
@@ -52,12 +60,26 @@ def _letters_of_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Words:
+    """Texts cut into words: the distinct words, the number of every word, and where each text's words end."""
+
+    def __init__(self, texts: list[str]):
+        cut = [_CUT.split(t) for t in texts]
+        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        self.number = coded.indices.to_numpy().astype(np.int64)
+        self.distinct: list[str] = coded.dictionary.to_pylist()
+        self.ends = np.cumsum([len(words) for words in cut], dtype=np.int64)
+
+
 class Tokenizer:
     """The bytes of every token, and whole texts to ids."""
 
     tokens: list[bytes]
+    #: Whether the ids of a text are those of its words in a row.
+    by_word: bool
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that carry a leading space."""
         raise NotImplementedError
 
     def prepare(self) -> None:
@@ -71,10 +93,23 @@ class Tokenizer:
         self.names = np.frombuffer(b"".join(names), np.uint8)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), WORDS):
+            found = self.ids_of(texts[at:at + WORDS])
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def encode_words(self, texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where the ids of each end."""
-        found = self.ids_of(texts)
-        ends = np.cumsum([len(x) for x in found], dtype=np.int64)
-        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1]) if len(ends) else 0), ends
+        if not self.by_word:
+            ids, sizes = self.encode(texts)
+            return ids, np.cumsum(sizes)
+        ids, sizes = self.encode(words.distinct)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.append(0, np.cumsum(sizes[words.number]))[words.ends]
+        return ids[_ranges(starts[words.number], sizes[words.number])], ends
 
 
 class ByteLevel(Tokenizer):
@@ -89,14 +124,32 @@ class ByteLevel(Tokenizer):
         self.model.no_padding()
         self.model.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            added = {t["id"]: t["content"].encode() for t in json.load(file)["added_tokens"]}
+            said = json.load(file)
+        split = said["pre_tokenizer"] or {}
+        self.by_word = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not said["normalizer"]
+        added = {t["id"]: t["content"].encode() for t in said["added_tokens"]}
         letter = _letters_of_bytes()
         entries = {i: t for t, i in self.model.get_vocab(with_added_tokens=True).items()}
         self.tokens = [added.get(i) or bytes(letter[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         self.prepare()
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As words encode alike in a row, rows of words are handed over, and their tokens dealt out by bytes."""
+        if not self.by_word:
+            return super().encode(texts)
+        rows = [texts[at:at + WORDS_IN_A_ROW] for at in range(0, len(texts), WORDS_IN_A_ROW)]
+        # a row must be cut where its words are: none may end in white space
+        rows = [r for row in rows for r in ([row] if not any(w[-1].isspace() for w in row) else [[w] for w in row])]
+        ids, _ = super().encode(["".join(row) for row in rows])
+        token_ends = np.cumsum(self.size[ids])
+        word_ends = np.cumsum(np.fromiter((len(w.encode()) for w in texts), np.int64, len(texts)))
+        ends = np.searchsorted(token_ends, word_ends) + 1
+        if not len(texts) or len(token_ends) and np.array_equal(token_ends[np.minimum(ends, len(ids)) - 1], word_ends):
+            return ids, np.diff(ends, prepend=0)
+        return super().encode(texts)
 
 
 class Pieces(Tokenizer):
@@ -108,12 +161,13 @@ class Pieces(Tokenizer):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = re.compile("<0x([0-9A-F]{2})>")
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.by_word = not any(re.search(f"[^{_SPACE}]{_SPACE}", n) for n in names)
         self.tokens = [bytes([int(raw.fullmatch(n)[1], 16)]) if self.model.is_byte(i) else n.replace(_SPACE, " ").encode()
                        for i, n in enumerate(names)]
         self.prepare()
 
     def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+        return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +187,14 @@ def _per(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(values))[ends], prepend=0)
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of both, values of either) of two rising rows without repeats."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    twice = both[1:] == both[:-1]
+    return both[:-1][twice], both[np.append(~twice, np.ones(min(len(both), 1), bool))]
+
+
 def _gives_back(tok: Tokenizer, ids: np.ndarray, ends: np.ndarray, raw: bytes, raw_ends: np.ndarray) -> np.ndarray:
     """Which texts' tokens join to their bytes."""
     size = tok.size[ids]
@@ -159,8 +221,7 @@ class Alignment:
     def __init__(self, a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, tok_a: Tokenizer, tok_b: Tokenizer):
         end_a, end_b = np.cumsum(tok_a.size[a]), np.cumsum(tok_b.size[b])
         window_end = end_a[ends_a - 1]
-        shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        every = np.union1d(end_a, end_b)
+        shared, every = _merged(end_a, end_b)
         at_a, at_b = np.searchsorted(end_a, every), np.searchsorted(end_b, every)
         self.pairs = a[at_a].astype(np.int64) << 32 | b[at_b]
         self.link_ends = np.searchsorted(every, window_end) + 1
@@ -210,12 +271,13 @@ _INTS = ("text_ends", "windows", "link_ends", "pair_at")
 def _chunk(texts: list[str], tok_a: Tokenizer, tok_b: Tokenizer) -> dict[str, object]:
     """One chunk of texts: its counts, its documents as windows, its distinct windows and its distinct pairs."""
     at = np.array([k for k, t in enumerate(texts) if t], np.int64)
-    some = [texts[k] for k in at.tolist()]
-    raw = [b" " + t.encode() for t in some]
+    some = [" " + texts[k] for k in at.tolist()]
+    raw = [t.encode() for t in some]
     raw_ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
     out: dict[str, object] = {c: np.zeros(len(texts), np.int64) for c in _LONGS}
     sha, text_ends = [""] * len(texts), np.zeros(len(texts), np.int64)
-    (a, ends_a), (b, ends_b) = tok_a.encode(some), tok_b.encode(some)
+    words = Words(some)
+    (a, ends_a), (b, ends_b) = tok_a.encode_words(some, words), tok_b.encode_words(some, words)
     joined = b"".join(raw)
     good = _gives_back(tok_a, a, ends_a, joined, raw_ends) & _gives_back(tok_b, b, ends_b, joined, raw_ends)
     (a, ends_a), (b, ends_b), at = _kept(a, ends_a, good), _kept(b, ends_b, good), at[good]
@@ -223,15 +285,15 @@ def _chunk(texts: list[str], tok_a: Tokenizer, tok_b: Tokenizer) -> dict[str, ob
     if len(at):
         end_a, end_b = np.cumsum(tok_a.size[a]), np.cumsum(tok_b.size[b])
         # before a token that starts with a space, and after the last one; every text starts with a space
-        anchors = np.intersect1d(*[end[np.append(tok.starts[ids[1:]], True)] for end, ids, tok in ((end_a, a, tok_a), (end_b, b, tok_b))],
-                                 assume_unique=True)
+        anchors, _ = _merged(*[end[np.append(tok.starts[ids[1:]], True)] for end, ids, tok in ((end_a, a, tok_a), (end_b, b, tok_b))])
         cut_a, cut_b = (np.append(0, np.searchsorted(end, anchors) + 1) for end in (end_a, end_b))
         windows, first = _numbered((a, cut_a), (b, cut_b))
         size_a, size_b = np.diff(cut_a)[first], np.diff(cut_b)[first]
         known = Alignment(a[_ranges(cut_a[first], size_a)], np.cumsum(size_a), b[_ranges(cut_b[first], size_b)], np.cumsum(size_b), tok_a, tok_b)
         link_ends = known.link_ends
         n_links = np.diff(link_ends, prepend=0)
-        pairs, pair_at = np.unique(known.pairs, return_inverse=True)
+        coded = pc.dictionary_encode(pa.array(known.pairs))
+        pairs, pair_at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
         often = np.bincount(windows, minlength=len(first))
         links = np.bincount(pair_at, np.repeat(often, n_links), minlength=len(pairs)).astype(np.int64)
         ends = np.searchsorted(anchors, end_a[ends_a - 1]) + 1
