@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 from matchspark.llm import editwalk, fingerprint, nearcopies
-from matchspark.llm.queries import op4
+from matchspark.llm.queries import op4, op6
 
 rng = random.Random(8)
 
@@ -83,3 +83,12 @@ def test_fingerprint_classes_of_chains_equal_brute_force(spark, tmp_path):
         degree = sum(prints[i] in pair for pair in near)
         assert (degree > 0) == (r["n_links"] > 0) and r["n_links"] <= degree
     assert fingerprint.with_classes(frame.limit(0)).count() == 0
+
+
+def test_the_forest_of_the_secret_scan_stands_in_no_filter(spark, tmp_path):
+    spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, None), (3, "clean")],
+                          "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = op6(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("RLIKE" in line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Filter"))
+    assert [r["doc_id"] for r in out.collect()] == [1]
