@@ -1,10 +1,12 @@
 """Near pairs among rows that share a bucket, joined to components, without losing any to a leader.
 
-In a few rounds each bucket's leader of that round meets the members that are not yet in its component;
-verified pairs become links. Last, all pairs that still share a bucket without sharing a component are
-verified, so the components are those of all near pairs of all buckets. Groups of near copies are
-settled by the leaders, as they share a component after that; pairs are only formed between members of
-different components, and only if ``may`` (a cheap bound that no near pair fails) lets them.
+In each of a few rounds every node meets one node only: of the leaders of its buckets, a bucket's leader being its
+member with the smallest hash of that round, the one with the smallest hash that is not yet in the node's component
+and that ``may`` lets through. So a round verifies no more pairs than there are nodes, and a group of near copies is
+settled by its first leaders, however many buckets it shares. Last, all pairs that still share a bucket without
+sharing a component are compared; only those that ``may`` lets through, a cheap bound that no near pair fails, become
+rows and are verified. So the components are those of all near pairs of all buckets. Tables of a finished round are
+deleted.
 """
 
 from __future__ import annotations
@@ -13,10 +15,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from matchspark.llm.common import materialize
+from matchspark.llm.common import discard, materialize, release
 from matchspark.llm.components import components
 
-LEADERS = 3
+ROUNDS = 2
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -28,36 +30,42 @@ def shared(members: DataFrame) -> DataFrame:
 
 
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],
-               may: Callable[[Column, Column], Column], leaders: int = LEADERS) -> tuple[DataFrame, DataFrame]:
+               may: Callable[[Column, Column], Column], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) of all near pairs sharing a bucket.
 
     ``members``: distinct (bucket, node) as of ``shared``; ``facts``: (node, fact), fact a struct that ``may``
     reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b.
     """
-    members = materialize(members.join(facts.select("node", "fact"), "node"), "members")
+    spark = members.sparkSession
     links = materialize(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     roots = components(links)
-    for turn in range(leaders + 1):
-        held = materialize(members.join(roots, "node", "left").select(
+    known = facts.select("node", "fact")
+    for turn in range(rounds + 1):
+        held = materialize(members.join(known, "node").join(roots, "node", "left").select(
             "bucket", "node", "fact", F.coalesce("root", "node").alias("root")), "held")
-        order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
-        ends = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("o"))
+        leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
+        ends = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("o"))
         mixed = ends.where("low < high").select("bucket", "o")
-        if turn < leaders:
-            met = held.join(mixed, "bucket").select(
-                "node", "root", "fact", F.col("o.node").alias("node2"), F.col("o.root").alias("root2"), F.col("o.fact").alias("fact2"))
+        if turn < rounds:
+            met = held.join(mixed, "bucket").where((F.col("root") != F.col("o.root")) & may(F.col("fact"), F.col("o.fact")))
+            pairs = met.groupBy("node").agg(F.min(F.struct("o.h", F.col("o.node").alias("n")))["n"].alias("node2"))
         else:
             rest = materialize(held.join(mixed.select("bucket"), "bucket"), "rest")
             other = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "fact")])
-            met = rest.join(other, (rest["bucket"] == other["bucket"]) & (rest["node"] < other["node2"])
-                            & (rest["root"] != other["root2"]) & may(rest["fact"], other["fact2"]))
-        pairs = materialize(met.where((F.col("root") != F.col("root2")) & may(F.col("fact"), F.col("fact2"))).select(
-            F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = materialize(verify(pairs).select("a", "b"), "links")
-        if new.isEmpty():
-            continue
-        links = materialize(links.unionByName(new).distinct(), "links")
-        roots = components(links)
+            pairs = rest.join(other, (rest["bucket"] == other["bucket"]) & (rest["node"] < other["node2"])
+                              & (rest["root"] != other["root2"]) & may(rest["fact"], other["fact2"])).select("node", "node2")
+        pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
+        if turn == rounds:
+            discard(rest)
+        discard(held)
+        if not pairs.isEmpty():
+            new = materialize(verify(pairs).select("a", "b"), "links")
+            if not new.isEmpty():
+                both = materialize(links.unionByName(new).distinct(), "links")
+                discard(roots)
+                discard(links)
+                links, roots = both, components(both)
+            discard(new)
+        discard(pairs)
+        release(spark)
     return links, roots

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from matchspark.session import materialize, scratch_path  # noqa: F401  (re-exported for the operators)
 
@@ -35,6 +36,12 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished stages: it does once the driver has dropped their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_hex(value: Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")

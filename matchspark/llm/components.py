@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from matchspark.llm.common import materialize
+from matchspark.llm.common import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,16 +25,19 @@ def components(edges: DataFrame) -> DataFrame:
         joins = (both.groupBy(F.col("a").alias("node"))
                  .agg(F.least(F.min(order("b")), F.first(order("a")))["n"].alias("to")))
         joins = materialize(joins, "joins")
-        edges = materialize(
+        fewer = materialize(
             edges.join(joins.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(joins.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
             .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
             "edges")
         if found is None:
-            found = joins.select("node", F.col("to").alias("root"))
+            new = joins.select("node", F.col("to").alias("root"))
         else:
-            found = found.join(joins.withColumnRenamed("node", "root"), "root", "left").select(
+            new = found.join(joins.withColumnRenamed("node", "root"), "root", "left").select(
                 "node", F.coalesce("to", "root").alias("root"))
-        found = materialize(found, "roots")
+        new = materialize(new, "roots")
+        for done in (edges, joins, *([found] if found is not None else [])):
+            discard(done)
+        edges, found = fewer, new
         turn += 1
     return found if found is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from matchspark.llm import buckets, editwalk
-from matchspark.llm.common import materialize, slices, texts_of
+from matchspark.llm.common import discard, materialize, release, slices, texts_of
 
 #: Bytes of text walked at once: long texts cost many steps, which many texts share.
 WALK_BYTES = 12 << 20
@@ -160,6 +160,17 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))],
                                              ["node", "bucket"])
 
+    # one bit of each sample of a scale; the scale and how many samples each scale has filled in one long
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            samples = raw[:, 1:].reshape(-1, editwalk.SCALES, editwalk.SAMPLES)
+            bits = np.packbits(samples & 1, axis=2, bitorder="little").view(np.int64)[:, :, 0]
+            fills = (samples > 0).sum(axis=2)
+            packed = raw[:, 0].astype(np.int64) << 24 | fills[:, 2] << 16 | fills[:, 1] << 8 | fills[:, 0]
+            fact = pa.StructArray.from_arrays([pa.array(packed), *[pa.array(bits[:, s].copy()) for s in range(3)]], ["fills", "b0", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fact], ["node", "fact"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [editwalk.likeness(a, b) >= threshold
@@ -172,9 +183,21 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
                 .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
     members = buckets.shared(distinct.mapInArrow(band, "node long, bucket long"))
-    facts = distinct.join(members.select("node").distinct(), "node", "left_semi").select(
-        "node", F.struct(F.conv(F.hex(F.substring("print", 1, 1)), 16, 10).cast("int").alias("scale")).alias("fact"))
-    links, roots = buckets.near_links(members, facts, verify, lambda a, b: F.abs(a["scale"] - b["scale"]) < editwalk.SCALES)
+    facts = materialize(distinct.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(
+        sketch, "node long, fact struct<fills:long,b0:long,b1:long,b2:long>"), "facts")
+
+    def may(a: Column, b: Column) -> Column:
+        """True for every near pair: the bits that differ are no more than the samples that may."""
+        scales = [F.shiftright(f["fills"], 24) for f in (a, b)]
+        up = [F.greatest(*scales) - s for s in scales]
+        bits = [F.when(u == 0, f["b0"]).when(u == 1, f["b1"]).when(u == 2, f["b2"]) for u, f in zip(up, (a, b))]
+        fills = [F.when(u == 0, f["fills"]).when(u == 1, F.shiftright(f["fills"], 8)).otherwise(F.shiftright(f["fills"], 16))
+                 .bitwiseAND(F.lit(255)) for u, f in zip(up, (a, b))]
+        return F.coalesce(F.bit_count(bits[0].bitwiseXOR(bits[1])) <= F.greatest(*fills) * (1 - threshold) + 1e-9, F.lit(False))
+
+    links, roots = buckets.near_links(members, facts, verify, may)
+    discard(members)
+    discard(facts)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = materialize(roots.join(ends, "node").join(distinct, "node"), "linked")
     lead = linked.groupBy("root").agg(F.min("print").alias("lead"))
@@ -196,6 +219,8 @@ def with_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     of = materialize(of, "known")
     least = of.groupBy("class").agg(F.min("first_id").alias("class_id"))
     of = materialize(of.join(least, "class").select("__node", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "known")
+    discard(prints)
+    release(docs.sparkSession)
     out = with_successor(docs, id_col=id_col, text_col=text_col)
     names = out.columns
     return out.withColumn("__node", F.xxhash64("fingerprint")).join(of, "__node", "left").select(
