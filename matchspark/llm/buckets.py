@@ -3,10 +3,10 @@
 In each of a few rounds every node meets one node only: of the leaders of its buckets, a bucket's leader being its
 member with the smallest hash of that round, the one with the smallest hash that is not yet in the node's component
 and that ``may`` lets through. So a round verifies no more pairs than there are nodes, and a group of near copies is
-settled by its first leaders, however many buckets it shares. Last, all pairs that still share a bucket without
-sharing a component are compared; only those that ``may`` lets through, a cheap bound that no near pair fails, become
-rows and are verified. So the components are those of all near pairs of all buckets. Tables of a finished round are
-deleted.
+settled by its first leaders, however many buckets it shares; rounds go on while they find links. Last, all pairs that
+still share a bucket without sharing a component are compared; only those that ``close`` lets through, a bound that no
+near pair fails, become rows and are verified. So the components are those of all near pairs of all buckets. Tables of
+a finished round are deleted.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from matchspark.llm.common import discard, materialize, release
 from matchspark.llm.components import components
 
-ROUNDS = 2
+#: Rounds of leaders end after so many, or when one finds less than a hundredth of the first one's links.
+ROUNDS = 8
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -30,23 +31,28 @@ def shared(members: DataFrame) -> DataFrame:
 
 
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],
-               may: Callable[[Column, Column], Column], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+               may: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column] | None = None,
+               marks: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) of all near pairs sharing a bucket.
 
     ``members``: distinct (bucket, node) as of ``shared``; ``facts``: (node, fact), fact a struct that ``may``
-    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b.
+    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b. ``marks`` and ``close``, if
+    given, stand for facts and ``may`` in the last comparison: wider and sharper.
     """
     spark = members.sparkSession
     links = materialize(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     roots = components(links)
     known = facts.select("node", "fact")
-    for turn in range(rounds + 1):
+    turn, first, last = 0, None, rounds == 0
+    while True:
+        if last and marks is not None:
+            known, may = marks.select("node", F.col("mark").alias("fact")), close or may
         held = materialize(members.join(known, "node").join(roots, "node", "left").select(
             "bucket", "node", "fact", F.coalesce("root", "node").alias("root")), "held")
         leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
         ends = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("o"))
         mixed = ends.where("low < high").select("bucket", "o")
-        if turn < rounds:
+        if not last:
             met = held.join(mixed, "bucket").where((F.col("root") != F.col("o.root")) & may(F.col("fact"), F.col("o.fact")))
             pairs = met.groupBy("node").agg(F.min(F.struct("o.h", F.col("o.node").alias("n")))["n"].alias("node2"))
         else:
@@ -55,12 +61,14 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
             pairs = rest.join(other, (rest["bucket"] == other["bucket"]) & (rest["node"] < other["node2"])
                               & (rest["root"] != other["root2"]) & may(rest["fact"], other["fact2"])).select("node", "node2")
         pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
-        if turn == rounds:
+        if last:
             discard(rest)
         discard(held)
+        found = 0
         if not pairs.isEmpty():
             new = materialize(verify(pairs).select("a", "b"), "links")
-            if not new.isEmpty():
+            found = new.count()
+            if found:
                 both = materialize(links.unionByName(new).distinct(), "links")
                 discard(roots)
                 discard(links)
@@ -68,4 +76,7 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
             discard(new)
         discard(pairs)
         release(spark)
-    return links, roots
+        if last:
+            return links, roots
+        turn, first = turn + 1, found if first is None else first
+        last = turn == rounds or found * 100 <= first

@@ -195,7 +195,31 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
                  .bitwiseAND(F.lit(255)) for u, f in zip(up, (a, b))]
         return F.coalesce(F.bit_count(bits[0].bitwiseXOR(bits[1])) <= F.greatest(*fills) * (1 - threshold) + 1e-9, F.lit(False))
 
-    links, roots = buckets.near_links(members, facts, verify, may)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            longs = pa.array(np.ascontiguousarray(raw[:, 1:]).view(np.int64).ravel())
+            every = pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, 24, dtype=np.int32)), longs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), every], ["node", "words"])
+
+    def close(a: Column, b: Column) -> Column:
+        """True for the near pairs: the samples that differ are no more than may."""
+        scales = [F.shiftright(f["fills"], 24) for f in (a, b)]
+        up = [(F.greatest(*scales) - s).cast("int") for s in scales]
+        differ = F.lit(0)
+        for i in range(editwalk.SAMPLES // 8):
+            x, y = (F.get(f["words"], u * (editwalk.SAMPLES // 8) + i) for f, u in zip((a, b), up))
+            bits = x.bitwiseXOR(y)
+            for half in (4, 2, 1):  # a byte that is not zero leaves its lowest bit set
+                bits = bits.bitwiseOR(F.shiftrightunsigned(bits, half))
+            differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+        fills = [F.shiftright(f["fills"], 8 * k).bitwiseAND(F.lit(255)) for f in (a, b) for k in range(editwalk.SCALES)]
+        fill = F.greatest(*[F.get(F.array(*fills[k:k + 3]), u) for k, u in zip((0, 3), up)])
+        return F.coalesce(may(a, b) & (differ <= fill * (1 - threshold) + 1e-9), F.lit(False))
+
+    marks = (distinct.mapInArrow(words, "node long, words array<long>").join(facts, "node")
+             .select("node", F.struct("fact.*", "words").alias("mark")))
+    links, roots = buckets.near_links(members, facts, verify, may, close, marks)
     discard(members)
     discard(facts)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
