@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from matchspark.operators.bitmaps import common as bitmaps_share, numbered_tokens, packed, words_of
 from matchspark.operators.topk import attach_list, grouped_topk
 
 #: Values this close to a floor count as reaching it: lists compare scores at nine digits.
@@ -70,31 +71,42 @@ def reaching_pairs(left: DataFrame, left_tokens: DataFrame, right: DataFrame, ri
 
     Per class the floor gives the least number of tokens to share. A pair sharing that many of n
     tokens shares one of any n - least + 1, so only the rarest so many of the left row are looked up.
-    The lookup of a token with more than ``part_rows`` right rows is split by a hash of the right id.
+    The lookup of a token with more than ``part_rows`` right rows is split by a hash of the right id. Both sides
+    carry their tokens as bitmaps, so a pair that meets knows at once how many tokens it shares, and only pairs whose
+    own number reaches the floor leave the join.
     """
+    places = numbered_tokens(right_tokens.select("token"))
+    words = words_of(places)
+    left = left.select([f.name for f in left.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))])
+    own = [c for c in left.columns if c != left_id]
     common = right_tokens.groupBy("token").agg(F.count("*").alias("_n"))
     rare = left_tokens.select(left_id, "token").join(common, "token").groupBy(left_id).agg(
         F.array_sort(F.collect_set(F.struct("_n", "token"))).alias("_rare")).where(F.size("_rare") > 1)
     kinds = right.groupBy(*classes).agg(*tops)
     entries = kinds.agg(F.collect_list(F.struct(*kinds.columns))).scalar()
-    offered = attach_list(left.join(rare, left_id).join(floor, left_id, "left"), entries, "_class").select("*", "_class.*")
+    tops_of = [c for c in kinds.columns if c not in classes]
+    maps = packed(left_tokens, left_id, places, words).withColumnRenamed("map", "_l_map")
+    offered = attach_list(left.join(rare, left_id).join(maps, left_id).join(floor, left_id, "left"), entries, "_class").select("*", "_class.*")
     n = F.size("_rare")
     able = F.filter(F.sequence(F.lit(2), n), lambda o: F.col("_floor").isNull() | (reach(o) >= F.col("_floor") - SLACK))
     asks = offered.withColumn("_least", F.get(able, F.lit(0))).where(F.col("_least").isNotNull())
     parts = F.ceil(F.col("_n") / part_rows).cast("int")
     probes = (
-        asks.select(left_id, *[F.col(c).alias(f"_l_{c}") for c in classes],
+        asks.select(left_id, *own, "_l_map", "_floor", *tops_of, *[F.col(c).alias(f"_l_{c}") for c in classes],
                     F.explode(F.slice("_rare", F.lit(1), n - F.col("_least") + 1)).alias("_p"))
         .select("*", "_p.token", "_p._n")
-        .select(left_id, *[f"_l_{c}" for c in classes], F.col("token").alias("_l_token"),
+        .select(left_id, *own, "_l_map", "_floor", *tops_of, *[f"_l_{c}" for c in classes], F.col("token").alias("_l_token"),
                 F.explode(F.sequence(F.lit(0), parts - 1)).alias("_l_part"))
     )
     index = right_tokens.select(right_id, "token").join(right.select(right_id, *classes), right_id).join(
-        common, "token").withColumn("part", F.pmod(F.xxhash64(right_id), parts.cast("long")).cast("int"))
+        packed(right_tokens, right_id, places, words), right_id).join(common, "token").withColumn("part", F.pmod(F.xxhash64(right_id), parts.cast("long")).cast("int"))
     met = (F.col("token") == F.col("_l_token")) & (F.col("part") == F.col("_l_part"))
     for c in classes:
         met = met & F.col(c).eqNullSafe(F.col(f"_l_{c}"))
-    return probes.join(index, met).select(left_id, right_id).distinct()
+    shared = bitmaps_share(F.col("_l_map"), F.col("map"), words)
+    paired = probes.join(index.drop("_n"), met).withColumn("_shared", shared).where("_shared > 1")
+    reaching = paired.where(F.col("_floor").isNull() | (reach(F.col("_shared")) >= F.col("_floor") - SLACK))
+    return reaching.select(left_id, right_id).distinct()
 
 
 def floors(best: DataFrame, left_id: str, value: Column, k: int) -> DataFrame:
