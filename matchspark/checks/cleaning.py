@@ -76,6 +76,39 @@ def saved_table_round_trip(t: Tables):
     return back.select("mentee_id", F.array_join(F.col("interests_set").cast("array<string>"), ",").alias("interests"))
 
 
+def spoilt_export(t: Tables) -> str:
+    """A folder with an export of likes in four files; of every fifty lines one lacks fields and one has too many."""
+    line = F.concat_ws(";", "event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    spoilt = (F.when(F.col("event_id") % 50 == 0, F.col("event_id").cast("string"))
+              .when(F.col("event_id") % 50 == 1, F.concat(line, F.lit(";x;y"))).otherwise(line))
+    lines = t.events.select((F.col("event_id") % 4).cast("int").alias("part"), F.lit(1).alias("after"), spoilt.alias("value"))
+    heads = t.spark.range(4).select(F.col("id").cast("int"), F.lit(0), F.lit("LikeId;UserId;CreatedAt"))
+    folder = scratch_path(t.spark, "export")
+    (lines.union(heads).repartition(4, "part").sortWithinPartitions("part", "after").select("part", "value")
+     .write.partitionBy("part").text(f"{folder}/community_post_likes.csv"))
+    return folder
+
+
+@check("checked_folder_rows", "A1 A6 A14", """
+SELECT event_id AS like_id, user_id, date_trunc('second', ts) AS created_at FROM events WHERE event_id % 50 > 1""")
+def checked_folder_rows(t: Tables):
+    """The well-formed lines of an export, mapped to the logical table."""
+    likes = tables.read_tables_checked(t.spark, spoilt_export(t), ["posts_likes_dataset"])[0]["posts_likes_dataset"]
+    return likes.select("like_id", "user_id", "created_at")
+
+
+@check("checked_folder_rejects", "A1 A6", """
+SELECT 'posts_likes_dataset' AS "table",
+       CASE WHEN event_id % 50 = 0 THEN CAST(event_id AS VARCHAR)
+            ELSE concat(event_id, ';', user_id, ';', strftime(ts, '%Y-%m-%d %H:%M:%S'), ';x;y') END AS record,
+       CASE WHEN event_id % 50 = 0 THEN 'too few fields' ELSE 'too many fields' END AS reason
+FROM events WHERE event_id % 50 < 2""")
+def checked_folder_rejects(t: Tables):
+    """The malformed lines of the same export, each with its reason."""
+    rejected = tables.read_tables_checked(t.spark, spoilt_export(t), ["posts_likes_dataset"])[1]
+    return rejected.select("table", "record", "reason")
+
+
 @check("split_config_round_trip", "A10 A9", """
 SELECT date_trunc('day', make_timestamp(CAST(quantile_cont(epoch_us(applied_at), 0.70) AS BIGINT))) = train_end AS same_train
 FROM f_applications, (SELECT date_trunc('day', make_timestamp(CAST(quantile_cont(epoch_us(applied_at), 0.70) AS BIGINT))) AS train_end

@@ -108,7 +108,7 @@ def cleaned_feedback(t: Tables):
 
 
 FAQ = """
-SELECT item_id AS entry_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 9)) AS keyword FROM benchmark"""
+SELECT item_id AS entry_id, unnest(list_filter(string_split(lower(text), ' '), lambda x: length(x) >= 4)) AS keyword FROM benchmark"""
 
 
 @check("faq_matches", "N13", f"""
@@ -121,7 +121,7 @@ def faq_matches(t: Tables):
 
 
 def faq_table(t: Tables):
-    words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 9)
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 4)
     return t.benchmark.select(F.col("item_id").alias("entry_id"), F.explode(words).alias("keyword")).distinct()
 
 
@@ -131,7 +131,7 @@ s AS (SELECT message_id, entry_id, sum(length(keyword)) AS score FROM m JOIN k O
 SELECT message_id, entry_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY score DESC, entry_id) AS rn FROM s) WHERE rn = 1""")
 def faq_matches_joined(t: Tables):
     """The same matches from a keyword list with every row twice."""
-    return chat.match_faq(messages(t), faq_table(t).union(faq_table(t)).distinct()).where("entry_id IS NOT NULL").select(
+    return chat.match_faq(messages(t), faq_table(t).union(faq_table(t))).where("entry_id IS NOT NULL").select(
         "message_id", "entry_id", F.col("score").cast("bigint").alias("score"))
 
 

@@ -9,18 +9,18 @@ from matchspark.functions.text import any_of
 from matchspark.operators.topk import grouped_topk
 
 MIN_KEYWORD, MIN_SCORE = 4, 4
-#: Keywords meet messages on their first letters: as many as the longest of these that fits.
-STARTS = (4, 8)
+#: Keywords meet messages on the stretch of so many letters that fewest messages hold.
+GRAM = MIN_KEYWORD
 
 
 def match_faq(messages: DataFrame, faq: DataFrame, text: str = "text") -> DataFrame:
     """Messages with the best FAQ entry: the one whose contained keywords are longest in sum.
 
     ``faq`` has one row per (entry_id, keyword). Keywords under four letters are ignored, a sum under
-    four is no match, and the lower entry id wins ties. Each distinct keyword meets each message that
-    has its start once; entries are attached to the keywords found.
+    four is no match, and the lower entry id wins ties. Repeated rows of the list count once. Each distinct
+    keyword meets each message that has its rarest gram once; entries are attached to the keywords found.
     """
-    keywords = faq.select("entry_id", F.lower("keyword").alias("keyword")).where(F.length("keyword") >= MIN_KEYWORD)
+    keywords = faq.select("entry_id", F.lower("keyword").alias("keyword")).where(F.length("keyword") >= MIN_KEYWORD).distinct()
     rows = messages.select("message_id", F.lower(F.col(text)).alias("_t"))
     found = _contained(rows, keywords.select("keyword").distinct())
     scores = found.join(keywords, "keyword").groupBy("message_id", "entry_id").agg(
@@ -31,19 +31,28 @@ def match_faq(messages: DataFrame, faq: DataFrame, text: str = "text") -> DataFr
 
 
 def _contained(rows: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(message_id, keyword) for every keyword that a message holds."""
+    """(message_id, keyword) for every keyword that a message holds.
 
-    def starts(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length("_t") - n + 1, F.lit(1)))
-        return F.transform(places, lambda i: F.substr("_t", i, F.lit(n)))
+    A message that holds a keyword holds all its grams, so each keyword is looked up by the one that fewest
+    messages hold: a common start is no hot key. A message's text is joined once, to the list of its lookups,
+    which the number of keywords bounds.
+    """
+
+    def grams(of: str) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(of) - GRAM + 1, F.lit(1)))
+        return F.array_distinct(F.transform(places, lambda i: F.substr(of, i, F.lit(GRAM))))
 
-    seen = rows.select("message_id", F.explode(F.array_distinct(F.concat(*map(starts, STARTS)))).alias("_start"))
-    start = F.substring("keyword", 1, STARTS[0])
-    for n in STARTS[1:]:
-        start = F.when(F.length("keyword") >= n, F.substring("keyword", 1, n)).otherwise(start)
-    named = keywords.withColumn("_start", start)
-    return seen.join(named, "_start").join(rows, "message_id").where(F.contains("_t", "keyword")).select(
-        "message_id", "keyword")
+    parts = keywords.select("keyword", F.explode(grams("keyword")).alias("_gram"))
+    seen = rows.select("message_id", F.explode(grams("_t")).alias("_gram")).join(
+        parts.select("_gram").distinct(), "_gram", "left_semi")
+    often = seen.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = (parts.join(often, "_gram", "left").groupBy("keyword")
+              .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("r"))
+              .where("r.n > 0").select("keyword", F.col("r.gram").alias("_gram")))
+    asked = seen.join(rarest, "_gram").groupBy("message_id").agg(F.collect_set("keyword").alias("_asked"))
+    held = asked.join(rows, "message_id").select(
+        "message_id", F.explode(F.filter("_asked", lambda k: F.contains("_t", k))).alias("keyword"))
+    return held.distinct()
 
 
 def mentioned_mentor(messages: DataFrame, recommendations: DataFrame, text: str = "text") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
 from matchspark.functions.sets import parse_set_text
@@ -81,10 +82,40 @@ def load_scaler(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refresh_table(df: DataFrame, path: str) -> int:
-    """Replace a target table and check that every row arrived."""
-    expected = df.count()
-    df.write.mode("overwrite").parquet(path)
-    written = df.sparkSession.read.parquet(path).count()
-    if written != expected:
-        raise RuntimeError(f"load of {path}: expected {expected} rows, wrote {written}")
+    """Replace a target table once every row has arrived beside it; a load that fails leaves the old table as it was.
+
+    The rows are written to a staged folder and counted on their way, so the input runs once and may read the old table.
+    Only a full copy takes the target's name. ``table_versions`` lists the loads.
+    """
+    spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
+    fs, place = _file_system(spark, path)
+    passed = Observation()
+    try:
+        df.observe(passed, F.count(F.lit(1)).alias("rows")).write.parquet(staged)
+        written, expected = spark.read.schema(df.schema).parquet(staged).count(), passed.get["rows"]
+        if written != expected:
+            raise RuntimeError(f"load of {path}: expected {expected} rows, wrote {written}")
+    except BaseException:
+        fs.delete(place(staged), True)
+        raise
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    if fs.exists(place(path)) and not fs.rename(place(path), place(old)):
+        raise RuntimeError(f"load of {path}: the old table can't be moved")
+    if not fs.rename(place(staged), place(path)):
+        fs.rename(place(old), place(path))
+        raise RuntimeError(f"load of {path}: the new table can't be moved")
+    fs.delete(place(old), True)
+    spark.createDataFrame([(written,)], "rows long").select(F.current_timestamp().alias("loaded_at"), "rows").write.mode(
+        "append").json(f"{path}.versions")
     return written
+
+
+def table_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(loaded_at, rows) of every refresh of a table."""
+    return spark.read.schema("loaded_at timestamp, rows long").json(f"{path}.versions")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, and a function that makes its paths."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark._jsc.hadoopConfiguration()), place

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from matchspark.functions.dates import parse_time
 from matchspark.schemas import ADDITIVE, PROGRAM_TABLES, TABLES, Table, plain
 
 EMPTY = ["", "nan", "NaN", "None"]
+_SPOILT = "_spoilt_record"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -34,6 +36,32 @@ def read_text_table(spark: SparkSession, path: str, sep: str | None = None) -> D
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def read_checked_table(spark: SparkSession, path: str, sep: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A delimited file as of ``read_text_table`` without its malformed records, and those: (file, record, reason).
+
+    A record is malformed if it has fewer or more fields than the header. Nothing is dropped: every record is in one
+    of the two frames.
+    """
+    sep = sep or sniff_separator(spark, path)
+    folders = spark.read.text(path).columns[1:]  # columns that only the folders name
+    names = [c for c in spark.read.option("header", True).option("sep", sep).csv(path).columns if c not in folders]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SPOILT]])
+    rows = (
+        spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"')
+        .option("emptyValue", "").option("nullValue", "\u0000").option("mode", "PERMISSIVE").option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _SPOILT).csv(path)
+        .select(*names, _SPOILT, F.col("_metadata.file_path").alias("_file"))
+        # names every column, so that no reader of a few columns makes the scan skip what it must check
+        .where(F.length(F.concat_ws("", *[F.col(f"`{n}`") for n in names])) >= 0)
+    )
+    fields = F.size(F.split(F.regexp_replace(_SPOILT, '"[^"]*"', ""), re.escape(sep)))
+    bad = rows.where(F.col(_SPOILT).isNotNull()).select(
+        F.col("_file").alias("file"), F.col(_SPOILT).alias("record"),
+        F.when((fields < len(names)) & F.col(f"`{names[-1]}`").isNull(), "too few fields").when(fields > len(names), "too many fields").otherwise("unreadable").alias("reason"))
+    good = rows.where(F.col(_SPOILT).isNull()).select(*names)
+    return good.toDF(*[c.strip() for c in names]), bad
+
+
 def union_frames(frames: list[DataFrame]) -> DataFrame:
     """Several files of one logical table; columns missing in one file become null."""
     out = frames[0]
@@ -113,6 +141,29 @@ def read_tables(spark: SparkSession, folder: str, names: Iterable[str] | None =
     return out
 
 
+def read_tables_checked(spark: SparkSession, folder: str, names: Iterable[str]) -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """The named tables of a folder as of ``read_tables``, and the malformed records of all their files.
+
+    The second frame is (table, file, record, reason); None if no file was found.
+    """
+    out: dict[str, DataFrame] = {}
+    rejected = None
+    for name in names:
+        spec = TABLES[name]
+        found = [f"{folder}/{f}" for f in spec.files if path_exists(spark, f"{folder}/{f}")]
+        if not found:
+            if spec.critical:
+                raise FileNotFoundError(f"critical table missing in {folder}: {name}")
+            continue
+        pairs = [read_checked_table(spark, p) for p in (found if name in ADDITIVE else found[:1])]
+        mapped = map_table(union_frames([good for good, _ in pairs]), spec)
+        out[name] = lower_status(mapped) if name == "mentorship_posts" else mapped
+        for _, bad in pairs:
+            named = bad.select(F.lit(name).alias("table"), "file", "record", "reason")
+            rejected = named if rejected is None else rejected.union(named)
+    return out, rejected
+
+
 def read_program_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The shorter table list of the program side."""
     return read_tables(spark, folder, PROGRAM_TABLES)
