@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from matchspark.llm.common import discard, materialize, release
 from matchspark.llm.components import components
 
-#: Rounds of leaders end after so many, or when one finds less than a hundredth of the first one's links.
-ROUNDS = 8
+#: Rounds of leaders end after so many, or when one finds less than a tenth of the first one's links.
+ROUNDS = 4
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -79,4 +79,4 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
         if last:
             return links, roots
         turn, first = turn + 1, found if first is None else first
-        last = turn == rounds or found * 100 <= first
+        last = turn == rounds or found * 10 <= first
