@@ -8,7 +8,7 @@ from matchspark.checks.people import r6
 from matchspark.checks.registry import check
 from matchspark.fixtures import Tables
 from matchspark.functions import dates, enums, ids, numbers
-from matchspark.operators import cleaning
+from matchspark.operators import cleaning, quality
 from matchspark.operators.groupstats import with_scalars
 from matchspark.plans import splits
 from matchspark.schemas import TABLES
@@ -89,7 +89,7 @@ def spoilt_export(t: Tables) -> str:
     return folder
 
 
-@check("checked_folder_rows", "A1 A6 A14", """
+@check("checked_folder_rows", "A1 A6", """
 SELECT event_id AS like_id, user_id, date_trunc('second', ts) AS created_at FROM events WHERE event_id % 50 > 1""")
 def checked_folder_rows(t: Tables):
     """The well-formed lines of an export, mapped to the logical table."""
@@ -442,3 +442,21 @@ def scalar_attach(t: Tables):
     out = with_scalars(t.part, t.part, top=F.max("p_retailprice"), mean=F.avg("p_size"))
     return r6(out.select("p_partkey", (F.col("p_retailprice") / F.col("top")).alias("share"),
                          (F.col("p_size") - F.col("mean")).alias("centred")))
+
+
+@check("features_by_saved_manifest", "A9 M8 M11 M20", """
+SELECT c_custkey AS mentee_id, c_nationkey AS mentor_id, c_nationkey % 5 AS nation_count, CAST(c_acctbal AS DOUBLE) AS balance, CAST(0.5 AS DOUBLE) AS cf_score
+FROM customer""")
+def features_by_saved_manifest(t: Tables):
+    """Checked rows in the order of a manifest that was written and read back; the optional column they lack is filled."""
+    rows = t.customer.select(
+        F.col("c_acctbal").cast("double").alias("balance"), F.col("c_custkey").alias("mentee_id"),
+        F.col("c_nationkey").alias("mentor_id"), (F.col("c_nationkey") % 5).alias("nation_count"))
+    quality.require_ids(rows)
+    features = ["nation_count", "balance", "cf_score"]
+    quality.schema_report(rows, ["mentee_id", "mentor_id", *features], ["mentee_id", "balance"], {"balance": "numeric"})
+    path = scratch_path(t.spark, "manifest")
+    artifacts.save_manifest(t.spark, quality.feature_manifest(features, ["balance"], "v1"), path)
+    manifest = artifacts.load_manifest(t.spark, path)
+    quality.require_compatible(manifest, "v1", scaled=["balance"], features=features)
+    return quality.align_to_manifest(rows, manifest, strict=False, fill={"cf_score": 0.5})
