@@ -5,8 +5,9 @@ member with the smallest hash of that round, the one with the smallest hash that
 and that ``may`` lets through. So a round verifies no more pairs than there are nodes, and a group of near copies is
 settled by its first leaders, however many buckets it shares; rounds go on while they find links. Last, all pairs that
 still share a bucket without sharing a component are compared; only those that ``close`` lets through, a bound that no
-near pair fails, become rows and are verified. So the components are those of all near pairs of all buckets. Tables of
-a finished round are deleted.
+near pair fails, become rows and are verified. So the components are those of all near pairs of all buckets. Between
+rounds a component found so far joins one neighbour only, the leaders' star in most cases; links are joined to the end
+once before the last comparison and once after it. Tables of a finished round are deleted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchspark.llm.common import discard, materialize, release
-from matchspark.llm.components import components
+from matchspark.llm.components import components, nearest
 
 #: Rounds of leaders end after so many, or when one finds less than a tenth of the first one's links.
 ROUNDS = 4
@@ -30,6 +31,21 @@ def shared(members: DataFrame) -> DataFrame:
     return materialize(kept.select("bucket", "node"), "shared")
 
 
+def _joined(links: DataFrame, roots: DataFrame, turn: int | None = None) -> DataFrame:
+    """``roots`` (node, root) after ``links`` (a, b): joined to the end, or, given a turn, every root to one neighbour at most."""
+    between = (links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
+               .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
+               .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b"))
+    joins = components(between) if turn is None else materialize(nearest(between, turn), "joins")
+    fresh = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots.select("node"), "node", "left_anti")
+    every = roots.unionByName(fresh.withColumn("root", F.col("node")))
+    out = materialize(every.join(joins.toDF("root", "to"), "root", "left").select(
+        "node", F.coalesce("to", "root").alias("root")), "roots")
+    discard(joins)
+    discard(roots)
+    return out
+
+
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],
                may: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column] | None = None,
                marks: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -40,8 +56,8 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
     given, stand for facts and ``may`` in the last comparison: wider and sharper.
     """
     spark = members.sparkSession
-    links = materialize(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
-    roots = components(links)
+    links = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
     known = facts.select("node", "fact")
     turn, first, last = 0, None, rounds == 0
     while True:
@@ -64,19 +80,19 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
         if last:
             discard(rest)
         discard(held)
-        found = 0
-        if not pairs.isEmpty():
-            new = materialize(verify(pairs).select("a", "b"), "links")
-            found = new.count()
-            if found:
-                both = materialize(links.unionByName(new).distinct(), "links")
-                discard(roots)
-                discard(links)
-                links, roots = both, components(both)
-            discard(new)
+        new = materialize(verify(pairs).select("a", "b"), "links")
         discard(pairs)
-        release(spark)
+        found = new.count()
+        if found:
+            both = materialize(links.unionByName(new).distinct(), "links")
+            discard(links)
+            links, roots = both, _joined(new, roots, None if last else turn)
+        discard(new)
         if last:
+            release(spark)
             return links, roots
         turn, first = turn + 1, found if first is None else first
         last = turn == rounds or found * 10 <= first
+        if last and first:
+            roots = _joined(links, roots)
+        release(spark)

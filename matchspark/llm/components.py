@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from matchspark.llm.common import discard, materialize
 
 
+def nearest(edges: DataFrame, turn: int) -> DataFrame:
+    """(node, to): what each node of the edges (a, b) joins in a turn, the smallest hash among its neighbours and itself."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("n"))
+    return both.groupBy(F.col("a").alias("node")).agg(F.least(F.min(order("b")), F.first(order("a")))["n"].alias("to"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): nodes with edges, equal roots within a component. ``edges``: (a, b) of longs.
 
@@ -20,11 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     found = None
     turn = 0
     while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("n"))
-        joins = (both.groupBy(F.col("a").alias("node"))
-                 .agg(F.least(F.min(order("b")), F.first(order("a")))["n"].alias("to")))
-        joins = materialize(joins, "joins")
+        joins = materialize(nearest(edges, turn), "joins")
         fewer = materialize(
             edges.join(joins.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(joins.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
