@@ -206,13 +206,12 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
         """True for the near pairs: the samples that differ are no more than may."""
         scales = [F.shiftright(f["fills"], 24) for f in (a, b)]
         up = [(F.greatest(*scales) - s).cast("int") for s in scales]
-        differ = F.lit(0)
-        for i in range(editwalk.SAMPLES // 8):
-            x, y = (F.get(f["words"], u * (editwalk.SAMPLES // 8) + i) for f, u in zip((a, b), up))
-            bits = x.bitwiseXOR(y)
-            for half in (4, 2, 1):  # a byte that is not zero leaves its lowest bit set
-                bits = bits.bitwiseOR(F.shiftrightunsigned(bits, half))
-            differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+        # functions over arrays: written out, the folds repeat each word eight times and the generated code is too long to compile
+        x, y = (F.slice(f["words"], u * (editwalk.SAMPLES // 8) + 1, editwalk.SAMPLES // 8) for f, u in zip((a, b), up))
+        bits = F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
+        for half in (4, 2, 1):  # a byte that is not zero leaves its lowest bit set
+            bits = F.transform(bits, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, half)))
+        differ = F.aggregate(bits, F.lit(0), lambda n, v: n + F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101))))
         fills = [F.shiftright(f["fills"], 8 * k).bitwiseAND(F.lit(255)) for f in (a, b) for k in range(editwalk.SCALES)]
         fill = F.greatest(*[F.get(F.array(*fills[k:k + 3]), u) for k, u in zip((0, 3), up)])
         return F.coalesce(may(a, b) & (differ <= fill * (1 - threshold) + 1e-9), F.lit(False))
