@@ -33,8 +33,9 @@ _LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 def runs_of(text: str) -> list[str]:
-    """The runs of letters of a whole text, lower case."""
-    return _LETTERS(text.lower())
+    """The runs of letters of a whole text, lower case. Fractions, raised digits and Roman number signs are no letters."""
+    return [part for run in _LETTERS(text.lower()) for part in (
+        (run,) if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def sequences(run: str) -> list[bytes]:

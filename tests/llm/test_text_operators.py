@@ -353,3 +353,10 @@ def test_key_blocks_leave_no_body(spark):
         assert not [p for p in parts if p in clean[i]] and "PRIVATE KEY" not in clean[i], (i, clean[i])
         assert clean[i].startswith("Some words before it.\n") and clean[i].endswith("\nand the story goes on, with more words.")
     assert clean[30] == "keys lie between [SECRET] and the end.\nMore prose, as before." and clean[31] == "[SECRET]" + " word" * 50000
+
+
+def test_number_signs_are_no_letters():
+    import regex
+    text = "\u00bd \u00b2 \u2167 Caf\u00e9\u00b2bar 12 x_y na\u00efve \u6f22\u5b57"
+    assert langid.runs_of("\u00bd \u00b2 \u2167 12 _") == []
+    assert langid.runs_of(text) == regex.findall(r"\p{L}+", text.lower())
