@@ -4,8 +4,8 @@ In each of a few rounds every node meets one node only: of the leaders of its bu
 member with the smallest hash of that round, the one with the smallest hash that is not yet in the node's component
 and that ``may`` lets through. So a round verifies no more pairs than there are nodes, and a group of near copies is
 settled by its first leaders, however many buckets it shares; rounds go on while they find links. Last, all pairs that
-still share a bucket without sharing a component are compared; only those that ``close`` lets through, a bound that no
-near pair fails, become rows and are verified. So the components are those of all near pairs of all buckets. Between
+still share a bucket without sharing a component are compared; only those that ``may``, a bound that no near pair fails,
+lets through become rows and are verified. So the components are those of all near pairs of all buckets. Between
 rounds a component found so far joins one neighbour only, the leaders' star in most cases; links are joined to the end
 once before the last comparison and once after it. Tables of a finished round are deleted.
 """
@@ -31,8 +31,10 @@ def shared(members: DataFrame) -> DataFrame:
     return materialize(kept.select("bucket", "node"), "shared")
 
 
-def _joined(links: DataFrame, roots: DataFrame, turn: int | None = None) -> DataFrame:
+def joined(links: DataFrame, roots: DataFrame | None, turn: int | None = None) -> DataFrame:
     """``roots`` (node, root) after ``links`` (a, b): joined to the end, or, given a turn, every root to one neighbour at most."""
+    if roots is None:
+        return components(links)
     between = (links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a", "left")
                .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b", "left")
                .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b"))
@@ -47,13 +49,11 @@ def _joined(links: DataFrame, roots: DataFrame, turn: int | None = None) -> Data
 
 
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],
-               may: Callable[[Column, Column], Column], close: Callable[[Column, Column], Column] | None = None,
-               marks: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+               may: Callable[[Column, Column], Column], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) of all near pairs sharing a bucket.
 
     ``members``: distinct (bucket, node) as of ``shared``; ``facts``: (node, fact), fact a struct that ``may``
-    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b. ``marks`` and ``close``, if
-    given, stand for facts and ``may`` in the last comparison: wider and sharper.
+    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -61,8 +61,6 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
     known = facts.select("node", "fact")
     turn, first, last = 0, None, rounds == 0
     while True:
-        if last and marks is not None:
-            known, may = marks.select("node", F.col("mark").alias("fact")), close or may
         held = materialize(members.join(known, "node").join(roots, "node", "left").select(
             "bucket", "node", "fact", F.coalesce("root", "node").alias("root")), "held")
         leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
@@ -86,7 +84,7 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
         if found:
             both = materialize(links.unionByName(new).distinct(), "links")
             discard(links)
-            links, roots = both, _joined(new, roots, None if last else turn)
+            links, roots = both, joined(new, roots, None if last else turn)
         discard(new)
         if last:
             release(spark)
@@ -94,5 +92,5 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
         turn, first = turn + 1, found if first is None else first
         last = turn == rounds or found * 10 <= first
         if last and first:
-            roots = _joined(links, roots)
+            roots = joined(links, roots)
         release(spark)

@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from matchspark.llm import buckets, editwalk
+from matchspark.llm import editwalk, forest
 from matchspark.llm.common import discard, materialize, release, slices, texts_of
 
 #: Bytes of text walked at once: long texts cost many steps, which many texts share.
@@ -139,12 +139,12 @@ def band_keys(raw: bytes, threshold: float) -> list[bytes]:
     return keys
 
 
-def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_classes(prints: DataFrame, threshold: float = 0.8, block: int = forest.BLOCK) -> DataFrame:
     """(fingerprint, leader, n_links): fingerprints connected by pairs at least ``threshold`` alike.
 
     Distinct fingerprints are banded by ``band_keys``, near pairs of every band verified and linked
-    (``buckets``), links joined to components; a class's smallest fingerprint is its leader. ``n_links``
-    counts the verified links of a fingerprint that were needed to join its class.
+    (``forest``), links joined to components; a class's smallest fingerprint is its leader. ``n_links``
+    counts the verified links of a fingerprint that joined the classes inside its bands.
     """
     distinct = materialize(prints.select(F.unhex("fingerprint").alias("print")).distinct().select(
         F.xxhash64("print").alias("node"), "print"), "prints")
@@ -160,67 +160,7 @@ def near_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(keys, np.uint64).view(np.int64))],
                                              ["node", "bucket"])
 
-    # one bit of each sample of a scale; the scale and how many samples each scale has filled in one long
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            samples = raw[:, 1:].reshape(-1, editwalk.SCALES, editwalk.SAMPLES)
-            bits = np.packbits(samples & 1, axis=2, bitorder="little").view(np.int64)[:, :, 0]
-            fills = (samples > 0).sum(axis=2)
-            packed = raw[:, 0].astype(np.int64) << 24 | fills[:, 2] << 16 | fills[:, 1] << 8 | fills[:, 0]
-            fact = pa.StructArray.from_arrays([pa.array(packed), *[pa.array(bits[:, s].copy()) for s in range(3)]], ["fills", "b0", "b1", "b2"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), fact], ["node", "fact"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [editwalk.likeness(a, b) >= threshold
-                    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(distinct.select(F.col("node").alias("a"), F.col("print").alias("x")), "a")
-                .join(distinct.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
-                .select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
-
-    members = buckets.shared(distinct.mapInArrow(band, "node long, bucket long"))
-    facts = materialize(distinct.join(members.select("node").distinct(), "node", "left_semi").mapInArrow(
-        sketch, "node long, fact struct<fills:long,b0:long,b1:long,b2:long>"), "facts")
-
-    def may(a: Column, b: Column) -> Column:
-        """True for every near pair: the bits that differ are no more than the samples that may."""
-        scales = [F.shiftright(f["fills"], 24) for f in (a, b)]
-        up = [F.greatest(*scales) - s for s in scales]
-        bits = [F.when(u == 0, f["b0"]).when(u == 1, f["b1"]).when(u == 2, f["b2"]) for u, f in zip(up, (a, b))]
-        fills = [F.when(u == 0, f["fills"]).when(u == 1, F.shiftright(f["fills"], 8)).otherwise(F.shiftright(f["fills"], 16))
-                 .bitwiseAND(F.lit(255)) for u, f in zip(up, (a, b))]
-        return F.coalesce(F.bit_count(bits[0].bitwiseXOR(bits[1])) <= F.greatest(*fills) * (1 - threshold) + 1e-9, F.lit(False))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            longs = pa.array(np.ascontiguousarray(raw[:, 1:]).view(np.int64).ravel())
-            every = pa.ListArray.from_arrays(pa.array(np.arange(0, len(longs) + 1, 24, dtype=np.int32)), longs)
-            yield pa.RecordBatch.from_arrays([batch.column(0), every], ["node", "words"])
-
-    def close(a: Column, b: Column) -> Column:
-        """True for the near pairs: the samples that differ are no more than may."""
-        scales = [F.shiftright(f["fills"], 24) for f in (a, b)]
-        up = [(F.greatest(*scales) - s).cast("int") for s in scales]
-        # functions over arrays: written out, the folds repeat each word eight times and the generated code is too long to compile
-        x, y = (F.slice(f["words"], u * (editwalk.SAMPLES // 8) + 1, editwalk.SAMPLES // 8) for f, u in zip((a, b), up))
-        bits = F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
-        for half in (4, 2, 1):  # a byte that is not zero leaves its lowest bit set
-            bits = F.transform(bits, lambda v: v.bitwiseOR(F.shiftrightunsigned(v, half)))
-        differ = F.aggregate(bits, F.lit(0), lambda n, v: n + F.bit_count(v.bitwiseAND(F.lit(0x0101010101010101))))
-        fills = [F.shiftright(f["fills"], 8 * k).bitwiseAND(F.lit(255)) for f in (a, b) for k in range(editwalk.SCALES)]
-        fill = F.greatest(*[F.get(F.array(*fills[k:k + 3]), u) for k, u in zip((0, 3), up)])
-        return F.coalesce(may(a, b) & (differ <= fill * (1 - threshold) + 1e-9), F.lit(False))
-
-    marks = (distinct.mapInArrow(words, "node long, words array<long>").join(facts, "node")
-             .select("node", F.struct("fact.*", "words").alias("mark")))
-    links, roots = buckets.near_links(members, facts, verify, may, close, marks)
-    discard(members)
-    discard(facts)
+    links, roots = forest.near_links(distinct.mapInArrow(band, "node long, bucket long"), distinct, threshold, block)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = materialize(roots.join(ends, "node").join(distinct, "node"), "linked")
     lead = linked.groupBy("root").agg(F.min("print").alias("lead"))

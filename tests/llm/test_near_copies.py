@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from matchspark.llm import editwalk, fingerprint, nearcopies
+from matchspark.llm import editwalk, fingerprint, forest, nearcopies
 from matchspark.llm.queries import op4, op6
 
 rng = random.Random(8)
@@ -92,3 +94,41 @@ def test_the_forest_of_the_secret_scan_stands_in_no_filter(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("RLIKE" in line for line in plan.split("\n") if line.lstrip(" +-:").startswith("Filter"))
     assert [r["doc_id"] for r in out.collect()] == [1]
+
+
+def walked_prints(n_components, each):
+    """Fingerprints in families: each near the one before, families far from each other."""
+    out = []
+    for _ in range(n_components):
+        raw = bytearray([9]) + bytearray(rng.randrange(1, 256) for _ in range(3 * editwalk.SAMPLES))
+        for _ in range(each):
+            out.append(bytes(raw))
+            for at in rng.sample(range(1, len(raw)), 20):
+                raw[at] = rng.randrange(1, 256)
+    return out
+
+
+def test_one_bucket_of_2000_members_in_500_components(spark):
+    prints = walked_prints(500, 4)
+    rng.shuffle(prints)
+    near = lambda x, y: editwalk.likeness(x, y) >= 0.8
+    want = {}
+    for i, p in enumerate(prints):  # components by growing lists, all pairs compared
+        met = [r for r, group in want.items() if any(near(p, q) for _, q in group)]
+        first = min([i, *met])
+        want[first] = [(i, p)] + [x for r in met for x in want.pop(r)]
+    assert 400 < len(want) < 700
+    frame = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(prints)], "node long, print binary")
+    members = frame.select(F.lit(7).cast("long").alias("bucket"), "node")
+    for block in (100, 8192):  # across twenty blocks, and in one
+        links, roots = forest.near_links(members.unionByName(members.limit(9)), frame, 0.8, block)
+        root = {r["node"]: r["root"] for r in roots.collect()}
+        groups = {}
+        for i in range(len(prints)):
+            groups.setdefault(root.get(i, i), set()).add(i)
+        assert {frozenset(g) for g in groups.values()} == {frozenset(i for i, _ in g) for g in want.values()}
+        pairs = [(r["a"], r["b"]) for r in links.collect()]
+        assert len(set(pairs)) == len(pairs) < 2 * len(prints)
+        assert all(a < b and near(prints[a], prints[b]) for a, b in pairs)
+    links, roots = forest.near_links(members.limit(0), frame, 0.8)
+    assert links.count() == 0 and roots.count() == 0
