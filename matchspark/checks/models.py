@@ -8,7 +8,7 @@ from matchspark.checks.cleaning import raw_tables
 from matchspark.checks.people import engagement, r6
 from matchspark.checks.registry import check
 from matchspark.fixtures import Tables
-from matchspark.operators import factors, ranker, scaling
+from matchspark.operators import factors, listwise, ranker, scaling
 from matchspark.plans import mentor_flow, pairs, people, program_flow, programs
 
 FEATURES = ["skill_coverage_score", "subdomain_similarity", "mentor_weighted_rating", "interaction_score_log"]
@@ -52,6 +52,39 @@ def training_pairs(t: Tables):
     return ranker.difference_rows(t.f_scored, FEATURES).agg(F.count("*").alias("pairs"))
 
 
+@check("listwise_step", "H8 K1", """
+WITH s AS (SELECT mentee_id, mentor_id, label > 0 AS hit, CASE WHEN label = 1 THEN 1 + 3 * skill_coverage_score ELSE 1 END AS w,
+    skill_coverage_score AS x0, subdomain_similarity AS x1, mentor_weighted_rating AS x2, interaction_score_log AS x3,
+    0.4 * skill_coverage_score - 0.25 * subdomain_similarity + 1.5 * mentor_weighted_rating + 0.1 * interaction_score_log AS s FROM f_scored),
+r AS (SELECT *, 1 / log2(1 + row_number() OVER (PARTITION BY mentee_id ORDER BY s DESC, mentor_id)) AS gain,
+    row_number() OVER (PARTITION BY mentee_id ORDER BY s DESC, mentor_id) AS place FROM s),
+g AS (SELECT mentee_id, sum(exp(s)) FILTER (NOT hit) AS z, sum(exp(s) * x0) FILTER (NOT hit) AS p0, sum(exp(s) * x1) FILTER (NOT hit) AS p1,
+    sum(exp(s) * x2) FILTER (NOT hit) AS p2, sum(exp(s) * x3) FILTER (NOT hit) AS p3, count(*) FILTER (hit) AS n,
+    sum(gain) FILTER (hit AND place <= 10) AS dcg FROM r GROUP BY mentee_id HAVING count(*) FILTER (hit) > 0),
+i AS (SELECT n, sum(1 / log2(j + 1)) AS ideal, sum(1 / log2(j + 1)) FILTER (j <= 10) AS ideal10
+    FROM (SELECT DISTINCT n FROM g), generate_series(1, 1000) AS t(j) WHERE j <= n GROUP BY n),
+t AS (SELECT mentee_id, sum(c * ((p0 + e * x0) / z - x0)) AS g0, sum(c * ((p1 + e * x1) / z - x1)) AS g1, sum(c * ((p2 + e * x2) / z - x2)) AS g2,
+    sum(c * ((p3 + e * x3) / z - x3)) AS g3, sum(c * (ln(z) - s)) AS loss FROM (
+    SELECT r.mentee_id, x0, x1, x2, x3, s, exp(s) AS e, g.z + exp(s) AS z, p0, p1, p2, p3, w * (1 - gain) / ideal AS c
+    FROM r JOIN g USING (mentee_id) JOIN i USING (n) WHERE hit AND g.z IS NOT NULL) GROUP BY mentee_id),
+v AS (SELECT avg(coalesce(dcg, 0) / ideal10) AS ndcg FROM g JOIN i USING (n))
+SELECT round(avg(g0), 6) AS g0, round(avg(g1), 6) AS g1, round(avg(g2), 6) AS g2, round(avg(g3), 6) AS g3, round(avg(loss), 6) AS loss,
+    (SELECT round(ndcg, 6) FROM v) AS ndcg FROM t""")
+def listwise_step(t: Tables):
+    """Gradient and loss of the whole lists at given weights, and their NDCG."""
+    grouped = listwise.lists(t.f_scored, FEATURES)
+    both = grouped.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("valid"))
+    return r6(listwise.step(both, [0.4, -0.25, 1.5, 0.1]))
+
+
+@check("listwise_history", "H8")
+def listwise_history(t: Tables):
+    """Loss and validation NDCG of every step of a fit on the train lists."""
+    rows = ranker.ranking_frame(t.f_scored, FEATURES)
+    fit = listwise.train(rows.where("time_split = 'train'"), rows.where("time_split <> 'train'"), FEATURES, steps=20)
+    return t.f_scored.sparkSession.createDataFrame(fit.history, "rate double, step int, loss double, valid_ndcg double")
+
+
 @check("feature_importance", "H8 H10")
 def feature_importance(t: Tables):
     model = ranker.fit(t.f_scored, FEATURES)

@@ -449,9 +449,20 @@ def domain_diversity(t: Tables):
     return rerank.domain_diversity(lists).select("mentee_id", "mentor_id", "rank", F.round("score", 9).alias("score"))
 
 
-@check("diverse_selection", "G12")
+@check("diverse_selection", "G12", """
+SELECT * FROM (WITH RECURSIVE p AS (SELECT mentee_id, post_id, mentor_id, subdomain_id, pred_score AS score,
+    row_number() OVER (PARTITION BY mentee_id ORDER BY pred_score DESC, post_id) AS place, count(*) OVER (PARTITION BY mentee_id) AS n FROM f_program_scored),
+f AS (SELECT DISTINCT mentee_id, CAST(0 AS BIGINT) AS place, n, CAST([] AS BIGINT[]) AS places, CAST([] AS BIGINT[]) AS mentors, CAST([] AS BIGINT[]) AS fields FROM p
+  UNION ALL SELECT mentee_id, place, n, CASE WHEN fits THEN list_append(places, place) ELSE places END,
+    CASE WHEN fits THEN list_append(mentors, mentor_id) ELSE mentors END, CASE WHEN fits THEN list_append(fields, subdomain_id) ELSE fields END
+  FROM (SELECT f.mentee_id, p.place, f.n, places, mentors, fields, p.mentor_id, p.subdomain_id,
+      len(places) < 10 AND len(list_filter(mentors, lambda x: x = p.mentor_id)) < 3 AND len(list_filter(fields, lambda x: x = p.subdomain_id)) < 4 AS fits
+    FROM f JOIN p ON p.mentee_id = f.mentee_id AND p.place = f.place + 1)),
+o AS (SELECT p.*, row_number() OVER (PARTITION BY p.mentee_id ORDER BY CASE WHEN p.n <= 10 OR list_contains(places, p.place) THEN 0 ELSE 1 END, p.place) AS rank
+  FROM p JOIN (SELECT mentee_id, places FROM f WHERE place = n) c USING (mentee_id))
+SELECT mentee_id, rank, post_id, mentor_id, subdomain_id, round(score, 9) AS score FROM o WHERE rank <= 10)""")
 def diverse_selection(t: Tables):
-    return rerank.diverse_selection(t.f_program_scored, score="pred_score")
+    return rerank.diverse_selection(t.f_program_scored, score="pred_score").withColumn("score", F.round("score", 9))
 
 
 @check("prefiltered_lists", "F21 F2", """

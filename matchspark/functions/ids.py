@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, functions as F
 
 from matchspark.functions.numbers import int_or_null
-from matchspark.operators.topk import dense_index
+from matchspark.operators.topk import range_index
 
 USER_COLUMNS = ("user_id", "mentee_id", "mentor_id", "follower_id", "following_id")
 CANONICAL = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
@@ -62,7 +62,7 @@ def namespaced_int(raw: Column, source_file: Column, step: int = 10_000_000) ->
 def uuid_numbers(tables: dict[str, DataFrame]) -> DataFrame:
     """Dense numbers 1..n for every non-numeric user id in any table, ordered by the id text.
 
-    The numbering is spread over ranges by the first three characters, so it has no single-task sort.
+    The numbering is spread over even ranges of the ids that there are, so it has no single-task sort.
     """
     found = None
     for df in tables.values():
@@ -71,7 +71,7 @@ def uuid_numbers(tables: dict[str, DataFrame]) -> DataFrame:
                 one = df.select(F.trim(F.col(c).cast("string")).alias("uuid"))
                 found = one if found is None else found.union(one)
     ids = found.where((F.col("uuid") != "") & F.col("uuid").try_cast("bigint").isNull()).distinct()
-    return dense_index(ids, F.substring("uuid", 1, 3), [F.col("uuid")], "user_number")
+    return range_index(ids, ["uuid"], "user_number")
 
 
 def replace_uuids(df: DataFrame, numbers: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from matchspark.session import materialize
+
 
 def grouped_topk(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                  rank: str | None = None) -> DataFrame:
@@ -41,6 +43,23 @@ def attach_list(df: DataFrame, values: Column, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(values))
 
 
+def range_index(df: DataFrame, order: Sequence[str], name: str = "idx", ranges: int | None = None) -> DataFrame:
+    """Consecutive numbers 1..n in the order of distinct rows, whatever their values have in common.
+
+    Bounds come from a sample of the rows, so ranges are even also where all ids share a prefix. Rows are written with
+    the range they fell into (a repeated task must not draw other bounds), numbered inside it and shifted by the sizes
+    of the ranges before it, one row per range.
+    """
+    count = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df.repartitionByRange(count, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_pos", place).join(F.broadcast(shifts), "_range").withColumn(
+        name, F.col("_pos") + F.col("_shift")).drop("_range", "_pos", "_shift")
+
+
 def dense_index(df: DataFrame, bucket: Column, order: Sequence[Column], name: str = "idx",
                 groups: Sequence[str] = ()) -> DataFrame:
     """Consecutive numbers 1..n in a total order (per group), without sorting everything in one task.

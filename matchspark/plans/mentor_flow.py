@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from matchspark.operators import factors, labels, metrics, ranker, sampling, scaling
+from matchspark.operators import factors, labels, listwise, metrics, ranker, sampling, scaling
 from matchspark.operators.cleaning import safe_accounts, without_alerted
 from matchspark.operators.quality import feature_manifest, reject_leakage
 from matchspark.plans import candidates, pairs, people, rerank, serving, splits
@@ -119,7 +119,8 @@ def fit_and_rank(p: Prepared, features: DataFrame, neg_per_pos: int = sampling.T
         parts["train"], {"valid": parts["valid"], "test": parts["test"], "all": everyone}, scaled)
     train = materialize(train, "train")
     valid, test = materialize(rest["valid"], "valid"), materialize(rest["test"], "test")
-    _, weights = ranker.train(train, valid, names, k=K, seed=seed)
+    _, start = ranker.train(train, valid, names, k=K, seed=seed)
+    weights = listwise.train(train, valid, names, k=K, start=start).weights
     scored, checked = ranker.score(test, weights), ranker.score(valid, weights)
     reranked = rerank.multi_signal_rerank(scored)
     boosted = rerank.soft_boosts(reranked)
