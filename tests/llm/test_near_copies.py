@@ -61,6 +61,36 @@ def test_near_duplicates_stage_equals_brute_force(spark):
     assert nearcopies.classes(docs.limit(0)).count() == 0
 
 
+def test_balls_of_simhash_codes_meet_whatever_is_two_bits_apart(spark):
+    """The near-duplicate stage takes candidates from SimHash codes and their one-bit balls, none lost in a block."""
+    def apart(x, y):
+        return sum(1 for p, q in zip(x, y) if bin(p ^ q).count("1") <= 2)
+
+    base = [rng.randrange(2**nearcopies.CODE_BITS) for _ in range(120)]
+    codes = [[c, rng.randrange(2**nearcopies.CODE_BITS)] for c in base]
+    for flips in (0, 1, 2, 3):
+        for c in base[:60]:
+            for k in rng.sample(range(nearcopies.CODE_BITS), flips):
+                c ^= 1 << k
+            codes.append([rng.randrange(2**nearcopies.CODE_BITS), c] if flips % 2 else [c, c])
+    codes += [codes[0]] * 50  # many nodes of one code
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if apart(codes[i], codes[j])}
+    met = nearcopies.balls(spark.createDataFrame(list(enumerate(codes)), "node long, codes array<long>")).collect()
+    buckets = {}
+    for r in met:
+        buckets.setdefault(r["bucket"], set()).add(r["node"])
+    assert len(want) > 1000 and {(i, j) for b in buckets.values() for i in b for j in b if i < j} == want
+    assert min(map(len, buckets.values())) > 1
+
+    found = 0
+    for _ in range(50):  # similarity 0.9: a code of 64 bits would differ in seven places
+        words = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+        x = nearcopies.shingle_set(" ".join(words))
+        y = nearcopies.shingle_set(" ".join(words[:-26] + [f"n{i}" for i in range(26)]))
+        found += apart(nearcopies.ball_codes(x).tolist(), nearcopies.ball_codes(y).tolist()) > 0
+    assert found >= 48
+
+
 def test_fingerprint_classes_of_chains_equal_brute_force(spark, tmp_path):
     letters = "abcdefghijklmnop qrstuvwxyz"
     texts = []
