@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from matchspark.functions import compat
 from matchspark.functions.numbers import percent_text
 
+#: A reason with one of these words is about skills; texts put together from numbers have none of them.
+SKILL_WORDS = ("skill", "requirement", "specialization")
+
 
 def _num(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)) if column in df.columns else F.lit(0.0)
@@ -16,11 +21,18 @@ def _one_decimal(c: Column) -> Column:
     return F.format_string("%.1f", c)
 
 
-def _ladder(*steps: tuple[Column, Column, Column | str]) -> Column:
-    """The first step whose condition holds, as struct(weight, text); null when none does."""
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value computed once per row; a column that stands in several places is computed in each of them."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _ladder(place: int, *steps: tuple[Column, Column, Column | str]) -> Column:
+    """The first step whose condition holds, as struct(order, place, text, skills), the heaviest first; null when none does."""
     out = None
     for cond, weight, text in steps:
-        entry = F.struct(weight.cast("double").alias("weight"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+        skills = isinstance(text, str) and any(word in text for word in SKILL_WORDS)
+        entry = F.struct((-weight.cast("double")).alias("order"), F.lit(place).alias("place"),
+                         (F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(skills).alias("skills"))
         out = F.when(cond, entry) if out is None else out.when(cond, entry)
     return out
 
@@ -34,45 +46,49 @@ def mentor_reasons(df: DataFrame) -> Column:
     stars = F.concat(F.lit(" ("), _one_decimal(r), F.lit("/5)"))
     w = F.lit
     groups = [
-        _ladder(((so >= 0.8) & (sc >= 0.8), 2.5 + so + sc, "perfect skill and expertise match"),
+        _ladder(0, ((so >= 0.8) & (sc >= 0.8), 2.5 + so + sc, "perfect skill and expertise match"),
                 ((so >= 0.7) & (sc >= 0.7), 2.2 + so + sc, "excellent skill alignment with your needs"),
                 ((so >= 0.6) | (sc >= 0.7), 1.8 + so + sc, "strong skill match for your goals")),
-        _ladder((rc >= 0.9, 2.0 + rc, "covers all your mentorship requirements"),
+        _ladder(1, (rc >= 0.9, 2.0 + rc, "covers all your mentorship requirements"),
                 (rc >= 0.7, 1.8 + rc, "meets most of your specific requirements"),
                 (rc >= 0.5, 1.4 + rc, "aligns well with your requirements")),
-        _ladder((sd >= 0.8, 1.8 + sd, "specializes exactly in your field"),
+        _ladder(2, (sd >= 0.8, 1.8 + sd, "specializes exactly in your field"),
                 (sd >= 0.6, 1.5 + sd, "strong specialization alignment"),
                 (sd >= 0.4, 1.2 + sd, "relevant specialization area")),
-        _ladder(((r >= 4.5) & (me > 0), 1.5 + q * 0.1, F.concat(F.lit("top-rated expert mentor"), stars)),
+        _ladder(3, ((r >= 4.5) & (me > 0), 1.5 + q * 0.1, F.concat(F.lit("top-rated expert mentor"), stars)),
                 ((r >= 4.0) & (me > 0), 1.3 + q * 0.1, F.concat(F.lit("highly rated experienced mentor"), stars)),
                 (r >= 4.0, 1.1 + q * 0.1, F.concat(F.lit("exceptionally well-reviewed"), stars)),
                 (r >= 3.5, 0.9 + q * 0.05, F.concat(F.lit("strong mentor ratings"), stars))),
-        _ladder((op > 1, w(1.2), F.concat(F.lit("multiple open mentorship programs ("), op.cast("int").cast("string"), F.lit(")"))),
+        _ladder(4, (op > 1, w(1.2), F.concat(F.lit("multiple open mentorship programs ("), op.cast("int").cast("string"), F.lit(")"))),
                 (op > 0, w(1.0), "currently accepting mentorship applications")),
-        _ladder((it >= 2, 1.0 + it * 0.1, "regular engagement with their content"),
+        _ladder(5, (it >= 2, 1.0 + it * 0.1, "regular engagement with their content"),
                 (it >= 1, 0.8 + it * 0.1, "previous interaction with their posts"),
                 (it > 0, w(0.6), "some prior engagement")),
-        _ladder(((so >= 0.4) & (sc >= 0.5), 0.8 + so + sc, "good skill overlap and coverage"),
+        _ladder(6, ((so >= 0.4) & (sc >= 0.5), 0.8 + so + sc, "good skill overlap and coverage"),
                 (so >= 0.4, 0.7 + so, "relevant skill overlap"),
                 (sc >= 0.5, 0.6 + sc, "covers many of your skill areas")),
-        _ladder(((me > 0) & (eg >= 3), w(0.7), "significantly more experienced mentor"),
+        _ladder(7, ((me > 0) & (eg >= 3), w(0.7), "significantly more experienced mentor"),
                 ((me > 0) & (eg >= 1), w(0.5), "more experienced than your level")),
-        _ladder((pop > 1, w(0.25), "popular mentor in your field")),
-        _ladder((country > 0, w(0.2), "located in your country")),
+        _ladder(8, (pop > 1, w(0.25), "popular mentor in your field")),
+        _ladder(9, (country > 0, w(0.2), "located in your country")),
     ]
-    numbered = [F.when(g.isNotNull(), F.struct((-g["weight"]).alias("order"), F.lit(i).alias("place"), g["text"].alias("text")))
-                for i, g in enumerate(groups)]
-    best = F.slice(F.array_sort(F.array_compact(F.array(*numbered))), 1, 3)
-    texts = F.transform(best, lambda s: s["text"])
-    about_skills = F.filter(texts, lambda t: F.lower(t).rlike("skill|requirement|specialization"))
-    first = F.try_element_at(about_skills, F.lit(1))
-    others = F.filter(texts, lambda t: ~F.array_contains(about_skills, t))
-    merged = F.when(F.size(about_skills) >= 2, F.concat(F.array(first), others)).otherwise(texts)
-    return F.when(F.size(texts) == 0, F.lit("good overall profile fit")).otherwise(F.array_join(merged, "; "))
+    best = F.slice(F.sort_array(F.array_compact(F.array(*groups))), 1, 3)
+
+    def line(kept: Column) -> Column:
+        about_skills, others = F.filter(kept, lambda s: s["skills"]), F.filter(kept, lambda s: ~s["skills"])
+        merged = F.when(F.size(about_skills) >= 2, F.concat(F.slice(about_skills, 1, 1), others)).otherwise(kept)
+        return F.when(F.size(kept) == 0, F.lit("good overall profile fit")).otherwise(
+            F.array_join(F.transform(merged, lambda s: s["text"]), "; "))
+
+    return _held(best, line)
 
 
 def _sentence(parts: Column) -> Column:
     """One part, two parts joined by with, or a list closed by and."""
+    return _held(parts, _joined)
+
+
+def _joined(parts: Column) -> Column:
     n = F.size(parts)
     head = F.try_element_at(parts, F.lit(1))
     head = F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substr(head, F.lit(2))))
@@ -190,9 +206,14 @@ def program_metadata(df: DataFrame, score: str = "rerank_score") -> Column:
 
 def detailed_explanation(name: Column, match: Column, reason: Column, domain: Column, language: str = "en") -> Column:
     """Bullet points recovered from the one-sentence reason, in English or Arabic."""
+    return _held(F.coalesce(reason, F.lit("")), lambda text: _held(
+        F.lower(text), lambda r: _points(name, match, text, r, domain, language)))
+
+
+def _points(name: Column, match: Column, reason: Column, r: Column, domain: Column, language: str) -> Column:
+    """The bullet points of a reason; ``r`` is the reason in lower case."""
     # fixed values: condition, mark, English, Arabic
-    r = F.lower(F.coalesce(reason, F.lit("")))
-    skills = F.rtrim(F.regexp_replace(F.regexp_extract(F.coalesce(reason, F.lit("")), r"^.*in (.*)$", 1),
+    skills = F.rtrim(F.regexp_replace(F.regexp_extract(reason, r"^.*in (.*)$", 1),
                                       r"( with.*|,.*)$", ""), F.lit("."))
     known = F.coalesce(domain, F.lit("General")) != "General"
     rows = [
@@ -221,9 +242,8 @@ def detailed_explanation(name: Column, match: Column, reason: Column, domain: Co
     pick = 3 if language == "ar" else 2
     bullets = F.array_compact(F.array(*[
         F.when(row[0], F.concat(F.lit(f"  {row[1]} "), row[pick])) for row in rows]))
-    fallback = F.when(F.coalesce(reason, F.lit("")) != "", F.array(F.concat(F.lit("  💡 "), reason))).otherwise(
+    fallback = F.when(reason != "", F.array(F.concat(F.lit("  💡 "), reason))).otherwise(
         F.array().cast("array<string>"))
-    lines = F.when(F.size(bullets) > 0, bullets).otherwise(fallback)
     pct = match.cast("int").cast("string")
     if language == "ar":
         head = F.concat(F.lit("تم ترشيح **"), name, F.lit("** (نسبة التوافق: "), pct, F.lit("%) للأسباب دي:"))
@@ -231,4 +251,8 @@ def detailed_explanation(name: Column, match: Column, reason: Column, domain: Co
     else:
         head = F.concat(F.lit("**"), name, F.lit("** was recommended (match: "), pct, F.lit("%) because:"))
         plain = F.concat(F.lit("**"), name, F.lit("** was recommended with a "), pct, F.lit("% match based on your profile."))
-    return F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(head), lines), "\n")).otherwise(plain)
+
+    def whole(lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(head), lines), "\n")).otherwise(plain)
+
+    return _held(bullets, lambda b: _held(F.when(F.size(b) > 0, b).otherwise(fallback), whole))

@@ -101,6 +101,18 @@ def test_detailed_explanation(spark, lang):
     assert "Mona" in out and "91" in out and out.count("\n") == 2
 
 
+def test_explanations_compute_each_part_once(spark):
+    """Reasons, points and sentences stand in the plan once, however often the result needs them."""
+    df = spark.createDataFrame([(0.0, 0.0, 0.5, 4.6, 1, "Strong match in python.")], "skill_overlap_score double, skill_coverage_score double, "
+                               "subdomain_similarity double, mentor_weighted_rating double, mentor_more_experienced int, r string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().rsplit("LogicalRDD", 1)[0]
+    for c, part in ((explain.mentor_reasons(df), "top-rated expert mentor"), (explain.one_sentence_reason(df), "mentor you follow"),
+                    (explain.detailed_explanation(F.lit("Mona"), F.lit(91), F.col("r"), F.lit("Data")), "Highly rated by previous mentees")):
+        assert plan(c).count(part) == 1
+    assert df.select(explain.mentor_reasons(df)).first()[0] == \
+        "relevant specialization area; top-rated expert mentor (4.6/5)"
+
+
 def test_sites(spark):
     df = spark.createDataFrame([("roadmap", "deep learning", "en"), ("other", "x", "ar")], "i string, t string, l string")
     got = [r[0] for r in df.select(text.source_sites(F.col("i"), F.col("t"), F.col("l"))).collect()]
