@@ -3,9 +3,9 @@
 In each of a few rounds every node meets one node only: of the leaders of its buckets, a bucket's leader being its
 member with the smallest hash of that round, the one with the smallest hash that is not yet in the node's component
 and that ``may`` lets through. So a round verifies no more pairs than there are nodes, and a group of near copies is
-settled by its first leaders, however many buckets it shares; rounds go on while they find links. Last, all pairs that
-still share a bucket without sharing a component are compared; only those that ``may``, a bound that no near pair fails,
-lets through become rows and are verified. So the components are those of all near pairs of all buckets. Between
+settled by its first leaders, however many buckets it shares; rounds go on while they find links. Last, the nodes
+whose buckets still hold different components go to ``meet``, which finds every near pair between components without
+listing the pairs of a bucket, and those are verified. So the components are those of all near pairs of all buckets. Between
 rounds a component found so far joins one neighbour only, the leaders' star in most cases; links are joined to the end
 once before the last comparison and once after it. Tables of a finished round are deleted.
 """
@@ -49,11 +49,13 @@ def joined(links: DataFrame, roots: DataFrame | None, turn: int | None = None) -
 
 
 def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame],
-               may: Callable[[Column, Column], Column], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+               may: Callable[[Column, Column], Column], meet: Callable[[DataFrame], DataFrame],
+               rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) and the components (node, root) of all near pairs sharing a bucket.
 
     ``members``: distinct (bucket, node) as of ``shared``; ``facts``: (node, fact), fact a struct that ``may``
-    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b.
+    reads of both sides; ``verify``: keeps the near ones of distinct pairs (a, b), a < b; ``meet``: of rows (node,
+    root, fact), pairs (node, node2) that hold every near pair of different roots.
     """
     spark = members.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -63,17 +65,17 @@ def near_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame
     while True:
         held = materialize(members.join(known, "node").join(roots, "node", "left").select(
             "bucket", "node", "fact", F.coalesce("root", "node").alias("root")), "held")
-        leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
-        ends = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("o"))
-        mixed = ends.where("low < high").select("bucket", "o")
         if not last:
+            leader = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "fact")
+            ends = held.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(leader).alias("o"))
+            mixed = ends.where("low < high").select("bucket", "o")
             met = held.join(mixed, "bucket").where((F.col("root") != F.col("o.root")) & may(F.col("fact"), F.col("o.fact")))
             pairs = met.groupBy("node").agg(F.min(F.struct("o.h", F.col("o.node").alias("n")))["n"].alias("node2"))
         else:
-            rest = materialize(held.join(mixed.select("bucket"), "bucket"), "rest")
-            other = rest.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "fact")])
-            pairs = rest.join(other, (rest["bucket"] == other["bucket"]) & (rest["node"] < other["node2"])
-                              & (rest["root"] != other["root2"]) & may(rest["fact"], other["fact2"])).select("node", "node2")
+            w = Window.partitionBy("bucket")
+            open_ = held.select("node", "root", "fact", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high"))
+            rest = materialize(open_.where("low < high").select("node", "root", "fact").dropDuplicates(["node"]), "rest")
+            pairs = meet(rest)
         pairs = materialize(pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "pairs")
         if last:
             discard(rest)

@@ -7,7 +7,9 @@ inside tasks; only variants in which nodes meet leave them. One 64-bit code woul
 differs with a probability of 0.15, and all ``CODES`` short codes miss such a pair with one of 0.12, a pair at 0.9 with
 one of 1e-4. For those that no ball finds, every node also emits ``BANDS`` keys of ``ROWS`` MinHash values each,
 which miss a pair right at 0.8 with (1 - 0.8^5)^32 = 3e-6. Nodes that share a variant or a key meet, and every
-pair is verified by the exact similarity of the whole sets before it links. Links are joined to components.
+pair is verified by the exact similarity of the whole sets before it links. Links are joined to components. Nodes whose
+buckets still hold different components after the rounds of leaders meet by their rarest shingles (``rare_pairs``), so
+texts around a common passage that are not near are never listed pair by pair.
 
 Null and empty texts have no words and are copies of each other. Rows without id are compared too.
 """
@@ -163,6 +165,29 @@ def _may(a: Column, b: Column) -> Column:
             & (differ * (OF + NEAR) <= (a["size"] + b["size"]) * (OF - NEAR)))
 
 
+def rare_pairs(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, node2) of different roots, every near pair among them: prefix filtering over whole sets.
+
+    Near sets share NEAR / OF of the larger one, so of two sets in one common order the first
+    ``size - ceil(size * NEAR / OF) + 1`` hashes share one. The order puts hashes of a single root first, which need not
+    meet at all, then the rarest; from the first shared hash on both sets must have enough hashes left.
+    ``rest``: (node, root, fact), a node once; ``sets``: (node, found).
+    """
+    each = rest.join(sets, "node").select("node", "root", F.explode("found").alias("token"))
+    across = each.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    own = each.join(across.where("low < high").select("token", "n"), "token").groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
+    need = F.floor((F.col("fact.size") * NEAR + (OF - 1)) / OF).cast("int")
+    keep = F.greatest(F.size("own") - need + 1, F.lit(0))
+    first = materialize(own.join(rest, "node").where(keep > 0).select(
+        "node", "root", "fact", F.size("own").alias("many"), F.posexplode(F.slice("own", F.lit(1), keep)).alias("at", "t")).select(
+        "node", "root", "fact", (F.col("many") - F.col("at")).alias("left"), F.col("t.token").alias("token")), "prefixes")
+    other = first.select("token", *[F.col(c).alias(f"{c}2") for c in ("node", "root", "fact", "left")])
+    enough = F.least("left", "left2") * (OF + NEAR) >= (F.col("fact.size") + F.col("fact2.size")) * NEAR
+    return first.join(other, (first["token"] == other["token"]) & (first["node"] < other["node2"])
+                      & (first["root"] != other["root2"]) & enough & _may(first["fact"], other["fact2"])).select("node", "node2")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(``id_col``, node, component_id) of every row: near copies and what they connect have one component."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -212,7 +237,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 .where(F.size(F.array_intersect("x", "y")).cast("long") * (OF + NEAR)
                        >= (F.size("x").cast("long") + F.size("y")) * NEAR).select("a", "b"))
 
-    _, label = buckets.near_links(members, nodes, verify, _may)
+    _, label = buckets.near_links(members, nodes, verify, _may, lambda rest: rare_pairs(rest, sets))
     for done in (members, nodes, sets):
         discard(done)
     first = rows.groupBy("node").agg(F.min("id").alias("first_id")).join(label, "node", "left").select(

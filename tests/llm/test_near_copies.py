@@ -61,6 +61,31 @@ def test_near_duplicates_stage_equals_brute_force(spark):
     assert nearcopies.classes(docs.limit(0)).count() == 0
 
 
+def test_texts_around_a_common_passage_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Eighty texts share buckets and no bound tells them apart: only near ones may reach the exact comparison."""
+    base, rows = [f"b{i}" for i in range(1500)], []
+    for i in range(80):
+        at = rng.randrange(1250)
+        rows.append(base[:at] + [f"u{i}x{k}" for k in range(200)] + base[at + 200:])
+    for i in range(0, 80, 8):  # near copies of some of them
+        rows.append(rows[i][:-90] + [f"v{i}x{k}" for k in range(90)])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    sets = {i: five_words(" ".join(w)) for i, w in enumerate(rows)}
+    want = joined(sets, similar)
+    assert 60 < len(set(want.values())) < 85
+    links, compared = nearcopies.buckets.near_links, []
+
+    def watched(members, facts, verify, *more):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+        return links(members, facts, counted, *more)
+
+    monkeypatch.setattr(nearcopies.buckets, "near_links", watched)
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.classes(docs).collect()} == want
+    assert max(compared) <= 3 * len(rows)
+
+
 def test_balls_of_simhash_codes_meet_whatever_is_two_bits_apart(spark):
     """The near-duplicate stage takes candidates from SimHash codes and their one-bit balls, none lost in a block."""
     def apart(x, y):
