@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from matchspark.operators import bitmaps
-from matchspark.plans import chat
+from matchspark.plans import chat, mentor_flow
 from matchspark.plans.skill_match import top_skill_matches
 from matchspark.sources import artifacts, tables
 
@@ -63,3 +63,14 @@ def test_keywords_meet_messages_on_their_rarest_gram(spark):
     faq = spark.createDataFrame([(1, "commonality"), (1, "commonality"), (2, "COMMON"), (3, "abc"), (4, "nowhere")], "entry_id long, keyword string")
     got = {r["message_id"]: (r["entry_id"], r["score"]) for r in chat.match_faq(messages, faq).collect()}
     assert got[40] == (1, 11) and got[0] == (2, 6) and got[41] == got[42] == got[43] == (None, None)
+
+
+def test_tables_that_the_mentor_flow_reads_again_are_written_once(spark):
+    """Whatever a table is made from, later plans hold one scan of it: their size is what fills the driver."""
+    n = 5
+    profile = spark.range(n).withColumnRenamed("id", "user_id").join(spark.range(3).withColumnRenamed("id", "user_id"), "user_id", "left")
+    out = mentor_flow.written({"mentor_profile": profile, "other": profile}, mentor_flow.READ_AGAIN)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out["mentor_profile"]) == [(i,) for i in range(n)]
+    assert "Join" in plan(out["other"]) and len(plan(out["mentor_profile"]).strip().split("\n")) == 1
+    assert {"mentorship_posts", "mentorships", "follows"} <= set(mentor_flow.RAW_READ_AGAIN)
