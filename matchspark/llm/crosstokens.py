@@ -266,6 +266,28 @@ def _numbered(*sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.nda
 
 _LONGS = ("n_a", "n_b", "n_groups", "n_links")
 _INTS = ("text_ends", "windows", "link_ends", "pair_at")
+#: Of these, the steps are kept: they only rise.
+_RISING = ("text_ends", "link_ends")
+
+
+def _packed(made: dict[str, object]) -> bytes:
+    """The whole numbers of a chunk as one value: bytes of equal place in a row, compressed."""
+    parts = [np.diff(made[c], prepend=0) if c in _RISING else made[c] for c in _INTS]
+    planes = [np.ascontiguousarray(v.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes() for v in parts]
+    head = np.array([len(v) for v in parts], "<i8").tobytes()
+    return head + pa.Codec("zstd", compression_level=1).compress(b"".join(planes), asbytes=True)
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    """The numbers that ``_packed`` made one value of."""
+    sizes = np.frombuffer(data, "<i8", len(_INTS))
+    rest = data[8 * len(_INTS):]
+    planes, start, out = np.frombuffer(pa.Codec("zstd").decompress(rest, int(4 * sizes.sum()), asbytes=True), np.uint8), 0, {}
+    for c, n in zip(_INTS, sizes.tolist()):
+        values = np.ascontiguousarray(planes[start:start + 4 * n].reshape(4, n).T).view("<i4").reshape(n)
+        out[c] = np.cumsum(values, dtype=np.int64) if c in _RISING else values
+        start += 4 * n
+    return out
 
 
 def _chunk(texts: list[str], tok_a: Tokenizer, tok_b: Tokenizer) -> dict[str, object]:
@@ -315,11 +337,14 @@ def _listed(values) -> pa.Array:
 
 
 def chunks(docs: DataFrame, tokenizers: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk of documents; numbers of chunks are unique, and the same when a task runs again."""
+    """One row per chunk of documents; numbers of chunks are unique, and the same when a task runs again.
+
+    The numbers of its windows and links are packed: as arrays they are more bytes than the text, in every row that an
+    executor holds, sorts, writes and reads.
+    """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    types = {**{c: "long" for c in _LONGS}, "groups_sha256": "string", **{c: "int" for c in _INTS},
-             "pairs": "struct<a:int,b:int,links:long>"}
+    types = {**{c: "long" for c in _LONGS}, "groups_sha256": "string", "pairs": "struct<a:int,b:int,links:long>"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -327,12 +352,13 @@ def chunks(docs: DataFrame, tokenizers: tuple[str, str], id_col: str = "doc_id",
             for part in slices(batch, CHUNK_BYTES):
                 made = _chunk(texts_of(part, 1), *tokenizers_of(*tokenizers))
                 columns = {c: pa.array(made[c], pa.int64()) for c in _LONGS} | {"groups_sha256": pa.array(made["groups_sha256"], pa.string())}
-                columns |= {c: pa.array(made[c].astype(np.int32)) for c in _INTS} | {"pairs": made["pairs"]}
+                columns |= {"pairs": made["pairs"]}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), _listed(part.column(0)), *[_listed(columns[c]) for c in types]], ["chunk", "ids", *types])
+                    [pa.array([number]), _listed(part.column(0)), *[_listed(columns[c]) for c in types], pa.array([_packed(made)], pa.binary())],
+                    ["chunk", "ids", *types, "packed"])
                 number += 1
 
-    return source.mapInArrow(run, f"chunk long, ids array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in types.items()))
+    return source.mapInArrow(run, f"chunk long, ids array<{kind}>, " + ", ".join(f"{c} array<{t}>" for c, t in types.items()) + ", packed binary")
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -361,8 +387,8 @@ def align(docs: DataFrame, tokenizers: tuple[str, str] | None = None, *, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                held = {c: batch.column(i).slice(k, 1).flatten() for i, c in enumerate(batch.schema.names) if c != "chunk"}
-                of = {c: held[c].to_numpy(zero_copy_only=False) for c in (*_INTS, "links", "best")}
+                held = {c: batch.column(i).slice(k, 1).flatten() for i, c in enumerate(batch.schema.names) if c not in ("chunk", "packed")}
+                of = _unpacked(batch.column("packed")[k].as_py()) | {c: held[c].to_numpy(zero_copy_only=False) for c in ("links", "best")}
                 sums = []
                 for value in (of["best"], of["links"]):
                     by_window = _per(value[of["pair_at"]].astype(np.int64), of["link_ends"])
